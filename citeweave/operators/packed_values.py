@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from citeweave.operators.skew import hot_keys
+from citeweave.operators.skew import join_unique
 from citeweave.runtime import cut_lineage
 
 SEPARATORS = ";；,|•\t\n\r"
@@ -121,12 +121,9 @@ def split_packed(df: DataFrame, field: str, keys: list[str], value: str = "value
     plain = rows.where(~F.col("_f").rlike(f"[{_CLASS}]"))
     plain = plain.select(*[f"_k{i}" for i in range(len(keys))], F.array(F.regexp_replace("_f", f"^[{SPACES}]+|[{SPACES}]+$", "")).alias("_v"))
     marked = cut_lineage(rows.where(F.col("_f").rlike(f"[{_CLASS}]")).withColumn("_h", F.unhex(F.md5(skeleton(F.col("_f"))))))
-    hot = F.broadcast(hot_keys(marked, "_h", marked.count()).withColumn("_hot", F.lit(True)))
-    seen = marked.select("_h", F.col("_f")).groupBy("_h").agg(F.any_value("_f").alias("_one"))
+    seen = marked.groupBy("_h").agg(F.any_value("_f").alias("_one"))
     rules = cut_lineage(seen.select("_h", _resolve_all(skeleton(F.col("_one"))).alias("_r")))
-    tagged = marked.join(hot, "_h", "left")
-    ruled = tagged.where("_hot").drop("_hot").join(F.broadcast(rules.join(hot, "_h", "left_semi")), "_h")
-    ruled = ruled.unionByName(tagged.where("_hot IS NULL").drop("_hot").join(rules, "_h"))
+    ruled = join_unique(marked, rules, "_h")
     tokens = F.regexp_extract_all("_f", F.lit(TOKEN), 0)
     ruled = ruled.withColumn("_t", tokens).select(
         *[f"_k{i}" for i in range(len(keys))],
