@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from citeweave.llm.canon import map_to_reference
 from citeweave.llm.copies import court_key, group_copies, law_key
 from citeweave.llm.topn import top_n_per_group
+from citeweave.operators.packed_values import split_packed
 from citeweave.runtime import table
 
 
@@ -32,7 +34,17 @@ def p2_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _copies(spark, sf_dir).where("row_id = first_row_id").select("source_table", F.col("row_id"), F.col("copies").cast("long").alias("copies"))
 
 
-QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p2_records": p2_records}
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Typed citations that are not entries as they stand, with the entry each names, or 0."""
+    reference = table(spark, sf_dir, "citation_lookup")
+    laws = table(spark, sf_dir, "laws_de").select(F.lit("laws_de").alias("source_table"), "row_id", F.lit(0).alias("pos"), "citation")
+    val = split_packed(table(spark, sf_dir, "val"), "gold_citations", ["row_id"], "citation").select(F.lit("val").alias("source_table"), "row_id", "pos", "citation")
+    typed = laws.where(F.trim(F.regexp_replace("citation", r"[\s\u00a0]+", " ")) != "").unionByName(val)
+    typed = typed.join(reference.select(F.col("canonical_citation").alias("citation")), "citation", "left_anti")
+    return map_to_reference(typed, "citation", reference).select("source_table", "row_id", "pos", "canonical_id")
+
+
+QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p2_records": p2_records, "p4_found": p4_found}
 
 SQL = {
     "p1_found": """
