@@ -147,8 +147,8 @@ def parser(trie: Trie, labels: Trie) -> Callable[[str], list[tuple[int, str]]]:
     return parse
 
 
-def reference_parser(reference: DataFrame, most_laws: int = 20_000) -> Callable[[str], list[tuple[int, str]]]:
-    """The parser for a reference list: its laws (never more than ``most_laws``) under short name, full name and number.
+def reference_aliases(reference: DataFrame, most_laws: int = 20_000) -> list[tuple[str, str]]:
+    """(alias, law) for the short name, full name and number of every law (never more than ``most_laws``) of the list.
 
     Only the distinct laws reach the driver; the entries stay distributed and are met by a join on the parsed key.
     """
@@ -156,20 +156,23 @@ def reference_parser(reference: DataFrame, most_laws: int = 20_000) -> Callable[
     laws = laws.agg(F.min(F.lower("law_name")).alias("name"), F.min("sr_number").alias("sr")).limit(most_laws + 1).collect()
     if len(laws) > most_laws:
         raise ValueError(f"more than {most_laws} distinct laws in the reference list")
+    return [(unicodedata.normalize("NFKC", alias), law.short) for law in laws for alias in (law.short, law.name, law.sr) if alias]
+
+
+def build_parser(aliases: list[tuple[str, str]]) -> Callable[[str], list[tuple[int, str]]]:
     trie, labels = Trie(), Trie()
-    for law in laws:
-        for alias in (law.short, law.name, law.sr):
-            if alias:
-                trie.add(unicodedata.normalize("NFKC", alias), law.short)
+    for alias, law in aliases:
+        trie.add(alias, law)
     for label, kind in FUZZY_LABELS.items():
         labels.add(label, kind)
     return parser(trie, labels)
 
 
-def parse_values(values: DataFrame, column: str, parse: Callable[[str], list[tuple[int, str]]]) -> DataFrame:
+def parse_values(values: DataFrame, column: str, aliases: list[tuple[str, str]]) -> DataFrame:
     """``column``, ``distance``, ``key`` for every way a value can be read."""
 
     def op(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        parse = build_parser(aliases)
         for batch in batches:
             out = [(v, d, k) for v in batch[column] for d, k in parse(v)]
             yield pd.DataFrame(out, columns=[column, "distance", "key"])
@@ -187,13 +190,13 @@ def map_to_reference(df: DataFrame, value: str, reference: DataFrame) -> DataFra
     Cases: a NULL or blank value names nothing (0); very long values are read whole; repeated rows stay repeated; an
     empty table gives an empty result; duplicate keys in the reference resolve to the least id.
     """
-    parse = reference_parser(reference)
-    ids = parse_values(reference.select("canonical_citation").distinct(), "canonical_citation", parse)
+    aliases = reference_aliases(reference)
+    ids = parse_values(reference.select("canonical_citation").distinct(), "canonical_citation", aliases)
     ids = ids.where("distance = 0").join(reference.select("canonical_citation", "canonical_id"), "canonical_citation")
     ids = ids.groupBy("key").agg(F.min("canonical_id").alias("canonical_id"))
     rows = cut_lineage(df.withColumn("_value", F.coalesce(F.col(value), F.lit(""))))
     values = rows.select("_value").distinct()
-    near = parse_values(values, "_value", parse).join(ids, "key").groupBy("_value", "distance").agg(F.collect_set("canonical_id").alias("_ids"))
+    near = parse_values(values, "_value", aliases).join(ids, "key").groupBy("_value", "distance").agg(F.collect_set("canonical_id").alias("_ids"))
     near = near.groupBy("_value").agg(F.min_by("_ids", "distance").alias("_ids"))
     named = near.where(F.size("_ids") == 1).select("_value", F.col("_ids")[0].alias("canonical_id"))
     lookup = cut_lineage(values.join(named, "_value", "left").select("_value", F.coalesce("canonical_id", F.lit(0)).cast("long").alias("canonical_id")))

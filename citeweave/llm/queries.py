@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from citeweave.llm.canon import map_to_reference
+from citeweave.llm.chunks import split_oversized
 from citeweave.llm.copies import court_key, group_copies, law_key
 from citeweave.llm.topn import top_n_per_group
 from citeweave.operators.packed_values import split_packed
@@ -44,7 +45,24 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return map_to_reference(typed, "citation", reference).select("source_table", "row_id", "pos", "canonical_id")
 
 
-QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p2_records": p2_records, "p4_found": p4_found}
+def _oversized(spark: SparkSession, sf_dir: str) -> DataFrame:
+    laws = table(spark, sf_dir, "laws_de").select(F.lit("laws_de").alias("source_table"), "row_id", "text")
+    court = table(spark, sf_dir, "court_considerations").select(F.lit("court_considerations").alias("source_table"), "row_id", "text")
+    return split_oversized(laws.unionByName(court), ["source_table", "row_id"], "text", 1200, 150)
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts over 1,200 characters, and whether cutting them took a hard cut."""
+    first = _oversized(spark, sf_dir).where("piece_no = 0")
+    return first.select("source_table", "row_id", F.when(F.col("row_hard"), "hard").otherwise("soft").alias("cut_kind"))
+
+
+def p5_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pieces of all texts over 1,200 characters."""
+    return _oversized(spark, sf_dir).drop("row_hard")
+
+
+QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p2_records": p2_records, "p4_found": p4_found, "p5_found": p5_found, "p5_pieces": p5_pieces}
 
 SQL = {
     "p1_found": """
@@ -55,4 +73,14 @@ SQL = {
             SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, citation, source) AS item_rank FROM best)
         SELECT query_id, CAST(item_rank AS INTEGER) AS item_rank, citation, source FROM ranked WHERE item_rank <= 10
     """,
+    "p5_found": """
+        WITH rows AS (
+            SELECT 'laws_de' AS source_table, row_id, text FROM laws_de
+            UNION ALL SELECT 'court_considerations', row_id, text FROM court_considerations)
+        SELECT source_table, row_id,
+            CASE WHEN list_max(list_transform(
+                regexp_split_to_array(text, '[\\t-\\r \\x{85}\\x{A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}]'),
+                lambda x: length(x))) > 1200 THEN 'hard' ELSE 'soft' END AS cut_kind
+        FROM rows WHERE length(text) > 1200
+    """,
 }
