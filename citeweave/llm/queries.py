@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from citeweave.llm.canon import map_to_reference
 from citeweave.llm.chunks import split_oversized
 from citeweave.llm.copies import court_key, group_copies, law_key
+from citeweave.llm.packing import pack_documents
 from citeweave.llm.topn import top_n_per_group
 from citeweave.operators.packed_values import split_packed
 from citeweave.runtime import table
@@ -62,7 +65,16 @@ def p5_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _oversized(spark, sf_dir).drop("row_hard")
 
 
-QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p2_records": p2_records, "p4_found": p4_found, "p5_found": p5_found, "p5_pieces": p5_pieces}
+#: Vocabulary of the public tokenizer that sizes are measured in.
+TOKENIZER_FILE = os.environ.get("CITEWEAVE_TOKENIZER", "/opt/tokenizers/byte_bpe_50k.tiktoken")
+
+
+def p6_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in containers of 2,048 tokens of the byte-level BPE with 50k entries."""
+    return pack_documents(table(spark, sf_dir, "documents"), "doc_id", "text", 2048, TOKENIZER_FILE)
+
+
+QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p2_records": p2_records, "p4_found": p4_found, "p5_found": p5_found, "p5_pieces": p5_pieces, "p6_containers": p6_containers}
 
 SQL = {
     "p1_found": """
