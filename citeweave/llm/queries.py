@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from citeweave.llm.canon import map_to_reference
 from citeweave.llm.chunks import split_oversized
 from citeweave.llm.copies import court_key, group_copies, law_key
+from citeweave.llm.leaks import leaked_items
 from citeweave.llm.packing import pack_documents
 from citeweave.llm.topn import top_n_per_group
 from citeweave.operators.packed_values import split_packed
@@ -74,7 +75,12 @@ def p6_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), "doc_id", "text", 2048, TOKENIZER_FILE)
 
 
-QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p2_records": p2_records, "p4_found": p4_found, "p5_found": p5_found, "p5_pieces": p5_pieces, "p6_containers": p6_containers}
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold an evaluation item or at least 15 consecutive words of it."""
+    return leaked_items(table(spark, sf_dir, "documents"), "doc_id", "text", table(spark, sf_dir, "eval_items"), "item_id", "text")
+
+
+QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p2_records": p2_records, "p4_found": p4_found, "p5_found": p5_found, "p5_pieces": p5_pieces, "p6_containers": p6_containers, "p7_found": p7_found}
 
 SQL = {
     "p1_found": """
