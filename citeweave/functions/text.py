@@ -69,7 +69,7 @@ def first_by_lower(array: Column) -> Column:
 def matches(c: Column | str, patterns: tuple[str, ...]) -> Column:
     """All matches of the patterns, pattern by pattern."""
     text = F.coalesce(col(c), F.lit(""))
-    return F.flatten(F.array(*[F.transform(F.regexp_extract_all(text, F.lit(p), 0), F.trim) for p in patterns]))
+    return F.flatten(F.array(*[F.transform(F.regexp_extract_all(text, F.lit(p), 0), lambda x: F.trim(x)) for p in patterns]))
 
 
 def number_patterns(c: Column | str) -> Column:
@@ -95,7 +95,7 @@ def legal_phrases(clean: Column | str, words: Column | str, numbers: Column | st
     known = F.filter(F.array(*[F.lit(p) for p in L.LEGAL_PHRASES]), lambda p: F.contains(col(clean), p))
     windows = [F.when(F.size(words) >= n + 4, F.array(F.array_join(F.slice(words, n + 1, 4), " "))).otherwise(none) for n in (0, 4)]
     numbered = F.transform(F.slice(col(numbers), 1, 8), F.lower)
-    return F.array_distinct(F.filter(F.transform(F.concat(known, *windows, numbered), F.trim), lambda p: p != ""))
+    return F.array_distinct(F.filter(F.transform(F.concat(known, *windows, numbered), lambda x: F.trim(x)), lambda p: p != ""))
 
 
 def joined(*parts: Column) -> Column:

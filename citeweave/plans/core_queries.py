@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from citeweave.operators.packed_values import split_packed
+from citeweave.plans import text_queries
 from citeweave.runtime import table
 
 
@@ -21,5 +22,5 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return split_packed(packed_fields(spark, sf_dir), "field", ["source_table", "row_id"], "citation")
 
 
-QUERIES = {"p3_found": p3_found}
-SQL: dict[str, str] = {}
+QUERIES = {"p3_found": p3_found} | text_queries.QUERIES
+SQL: dict[str, str] = {} | text_queries.SQL
