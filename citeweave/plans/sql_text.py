@@ -33,8 +33,13 @@ def clean(x: str) -> str:
     return f"trim(regexp_replace(regexp_replace({base}, '[^a-z0-9_./#\\-\\s]', ' ', 'g'), '[\\s\\x0b]+', ' ', 'g'))"
 
 
+def bounded(x: str) -> str:
+    """Letters beyond ASCII as underscores: DuckDB's word borders know ASCII only, and no pattern takes such a letter."""
+    return f"regexp_replace(coalesce({x}, ''), '[À-ÖØ-öø-ÿ]', '_', 'g')"
+
+
 def matches(x: str, patterns) -> str:
-    lists = ", ".join(f"list_transform(regexp_extract_all(coalesce({x}, ''), {q(p)}), lambda v: trim(v))" for p in patterns)
+    lists = ", ".join(f"list_transform(regexp_extract_all({bounded(x)}, {q(p)}), lambda v: trim(v))" for p in patterns)
     return f"flatten([{lists}])"
 
 
@@ -51,7 +56,7 @@ def hits(x: str, cues) -> str:
 
 
 def signals(x: str, table: dict) -> str:
-    return " + ".join(f"len(regexp_extract_all({x}, {q(p)}))" for p in table.values())
+    return " + ".join(f"len(regexp_extract_all({bounded(x)}, {q(p)}))" for p in table.values())
 
 
 def title_template(x: str) -> str:
@@ -129,7 +134,7 @@ HITS = """
         GROUP BY ALL)"""
 
 VIEWS = f"""
-    base AS (SELECT query_id, query, {clean('query')} AS clean, {matches('query', L.NUMBER_PATTERNS)} AS all_numbers FROM questions),
+    base AS (SELECT query_id, row_id, query, {clean('query')} AS clean, {matches('query', L.NUMBER_PATTERNS)} AS all_numbers FROM questions),
     based AS (SELECT *, {first_by_lower('all_numbers')} AS numbers,
         list_filter(regexp_extract_all(clean, '[a-z0-9_./#-]+'), lambda w: length(w) >= 3 AND w NOT IN ({', '.join(q(w) for w in L.STOPWORDS)})) AS all_words FROM base),
     worded AS (SELECT * EXCLUDE (all_words, all_numbers), {distinct('all_words')}[1:24] AS words FROM based),
