@@ -165,10 +165,10 @@ def paragraph_key(norm: Column | str) -> Column:
 
 
 def pattern_share(patterns: Column, citation: Column) -> Column:
-    """Share of the patterns that stand in the citation, compared without blanks and dots."""
-    bare = F.regexp_replace(F.lower(citation), r"[\s.]+", "")
-    hits = F.size(F.filter(patterns, lambda p: F.contains(bare, F.regexp_replace(F.lower(p), r"[\s.]+", ""))))
-    return F.when(F.size(patterns) > 0, hits / F.size(patterns)).otherwise(0.0)
+    """Share of the patterns that the citation holds; two texts that both speak of articles or paragraphs count too."""
+    text, structural = F.lower(citation), "art|abs|lit|ziff|para|section"
+    met = F.size(F.filter(patterns, lambda p: (F.trim(p) != "") & (F.contains(text, F.lower(F.trim(p))) | (F.rlike(F.lower(p), F.lit(structural)) & F.rlike(text, F.lit(structural))))))
+    return F.when(F.size(patterns) > 0, met / F.size(patterns)).otherwise(0.0)
 
 
 def error_taxonomy(f1: Column, precision: Column, recall: Column, missing: Column) -> Column:
