@@ -16,8 +16,8 @@ def ratio(a: Column, b: Column, empty: float = 0.0) -> Column:
 
 def overlap(gold: DataFrame, pred: DataFrame) -> DataFrame:
     """query_id, gold_count, pred_count, tp over distinct citations."""
-    marks = gold.select("query_id", "citation", F.lit(1).alias("g"), F.lit(0).alias("p")).unionByName(pred.select("query_id", "citation", F.lit(0).alias("g"), F.lit(1).alias("p")))
-    once = marks.groupBy("query_id", "citation").agg(F.max("g").alias("g"), F.max("p").alias("p"))
+    marks = gold.select("query_id", "citation").distinct().withColumn("g", F.lit(1))
+    once = marks.join(pred.select("query_id", "citation").distinct().withColumn("p", F.lit(1)), ["query_id", "citation"], "full").fillna(0, ["g", "p"])
     return once.groupBy("query_id").agg(F.sum("g").alias("gold_count"), F.sum("p").alias("pred_count"), F.sum(F.col("g") * F.col("p")).alias("tp"))
 
 
@@ -54,11 +54,17 @@ def summary(rows: DataFrame, mode: str) -> DataFrame:
     return rows.agg(F.lit(mode).alias("mode"), F.count(F.lit(1)).alias("queries"), F.round(F.coalesce(F.avg("f1"), F.lit(0.0)), 6).alias("macro_f1"), F.round(F.coalesce(F.avg("missing_gold"), F.lit(0.0)), 6).alias("avg_missing_gold"))
 
 
-def hit_ranks(gold: DataFrame, ranked: DataFrame, extra: list[str] | None = None) -> DataFrame:
-    """Every gold citation with its least rank in a ranked list (NULL: not there). ``extra`` keys name several lists."""
-    extra = extra or []
-    best = ranked.groupBy("query_id", *extra, "citation").agg(F.min("rank").alias("rank"))
-    return gold.join(best, ["query_id", "citation"], "left") if not extra else gold.join(best.select(*extra).distinct(), how="cross").join(best, ["query_id", *extra, "citation"], "left")
+def hit_ranks(gold: DataFrame, ranked: DataFrame) -> DataFrame:
+    """Every gold citation with its least rank in a ranked list (NULL: not there)."""
+    best = ranked.groupBy("query_id", "citation").agg(F.min("rank").alias("rank"))
+    return gold.join(best, ["query_id", "citation"], "left")
+
+
+def branch_hit_ranks(gold: DataFrame, ranked: DataFrame, branches: tuple[str, ...]) -> DataFrame:
+    """The same for every named list: query_id, list_id, citation, rank."""
+    best = ranked.groupBy("query_id", "list_id", "citation").agg(F.min("rank").alias("rank"))
+    wanted = gold.withColumn("list_id", F.explode(F.array(*[F.lit(b) for b in branches])))
+    return wanted.join(best, ["query_id", "list_id", "citation"], "left")
 
 
 def recall_rows(queries: DataFrame, ranks: DataFrame, keys: list[str] | None = None) -> DataFrame:
