@@ -27,8 +27,8 @@ PARTS = (
 
 
 def fold(text: Column) -> Column:
-    """Letter case away, by way of upper case, so that ß and SS agree."""
-    return F.lower(F.upper(text))
+    """Letter case away, by way of upper case, so that all small letters of one capital agree; ß and SS agree."""
+    return F.lower(F.upper(F.replace(text, F.lit("ß"), F.lit("SS"))))
 
 
 def canonical_text(text: Column) -> Column:

@@ -237,7 +237,7 @@ def leaked_items(
        Wording that more than ``owners`` items share is no seed.
     4. Passages with ``least`` rare seeds are aligned word by word (Smith-Waterman). It is a leak if the alignment covers
        ``span`` words of the item, scores at least ``share`` of them, and has the item's telling words (those in at most
-       a twentieth of the items): nine in ten, or two in three where the alignment is long or near the document's best.
+       a twentieth of the items): nine in ten, half of them in a long alignment, two in three in one near the document's best.
        So an item that only shares its phrasing with the one that leaked is not reported.
 
     Cases: NULL and empty texts hold nothing; items of fewer than ``n`` words or below ``span`` words are never found;
@@ -258,12 +258,12 @@ def leaked_items(
         hits = cut_lineage(rows.mapInArrow(_seed(items, n, drift, reach, least), SPARK_HITS))
         most = rows.count() if most is None else most
         seen = hits.select(F.explode("seeds").alias("seed")).groupBy("seed").agg(F.count(F.lit(1)).alias("docs"))
-        owners = docs.sparkSession.createDataFrame(
+        held = docs.sparkSession.createDataFrame(
             [(int(k), int(i)) for g in range(len(items.keys)) for k, i in zip(repeat(g), items.item_of[items.offsets[g] : items.offsets[g + 1]].tolist())], "seed int, item int"
         )
-        owners = owners.distinct().join(seen, "seed", "left").withColumn("docs", F.coalesce("docs", F.lit(0)))
-        usual = owners.where("docs > 0").groupBy("item").agg(F.percentile("docs", F.lit(0.5)).alias("median"))
-        weights = owners.join(usual, "item").where((F.col("docs") <= F.lit(max(10.0, rare * most))) | (F.col("docs") <= 3 * F.col("median")))
+        held = held.distinct().join(seen, "seed", "left").withColumn("docs", F.coalesce("docs", F.lit(0)))
+        usual = held.where("docs > 0").groupBy("item").agg(F.percentile("docs", F.lit(0.5)).alias("median"))
+        weights = held.join(usual, "item").where((F.col("docs") <= F.lit(max(10.0, rare * most))) | (F.col("docs") <= 3 * F.col("median")))
         good = weights.groupBy("item").agg(F.collect_set("seed").alias("good"))
         passages = hits.select("doc_id", F.inline("passages")).join(F.broadcast(good), "item")
         passages = passages.where(F.size(F.array_intersect("seeds", "good")) >= least).select("doc_id", "item", "words")
@@ -272,6 +272,6 @@ def leaked_items(
     if out is None:
         return docs.sparkSession.createDataFrame([], "doc_id bigint, item_id bigint")
     best = F.max("score").over(Window.partitionBy("doc_id"))
-    sure = (F.col("telling") >= 0.9) | (F.col("telling") >= 0.65) & ((F.col("span") >= 1.6 * span) | (F.col("score") >= 0.7 * F.col("best")))
+    sure = (F.col("telling") >= 0.9) | (F.col("telling") >= 0.5) & (F.col("span") >= 1.6 * span) | (F.col("telling") >= 0.65) & (F.col("score") >= 0.7 * F.col("best"))
     out = out.withColumn("best", best).where((F.col("span") >= span) & (F.col("score") >= F.col("span") * share) & sure)
     return out.select("doc_id", "item_id").distinct()
