@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -26,12 +27,11 @@ def normalize_text(c: Column | str) -> Column:
 
 def normalize_text_exact(c: Column | str) -> Column:
     """N1 with full NFKC, by Arrow batches; for text beyond the forms that ``normalize_text`` folds."""
-    import pandas as pd
+    return normalize_text(F.pandas_udf(_nfkc, "string")(F.coalesce(col(c), F.lit(""))))
 
-    def nfkc(s: pd.Series) -> pd.Series:
-        return s.str.normalize("NFKC")
 
-    return normalize_text(F.pandas_udf(nfkc, "string", F.PandasUDFType.SCALAR)(F.coalesce(col(c), F.lit(""))))
+def _nfkc(s: pd.Series) -> pd.Series:
+    return s.str.normalize("NFKC")
 
 
 def normalize_citation(c: Column | str) -> Column:

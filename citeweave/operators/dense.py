@@ -5,10 +5,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from citeweave.functions import text as T
 from citeweave.operators.sparse import top_k
 
 SCHEMA = pa.schema([("query_id", pa.int64()), ("source", pa.string()), ("id", pa.int64()), ("score", pa.float64())])
@@ -76,31 +78,30 @@ def dense_blocks(corpus: DataFrame, queries: DataFrame, k_laws: int, k_court: in
     return top_k(kept, ["query_id"], [F.when(laws, 0).otherwise(1), F.asc("source_rank")], k_laws + k_court)
 
 
+def _project(grams: np.ndarray, dims: int, seed: int) -> np.ndarray:
+    """The unit-length sum of one row of signs for each gram; signs are the top bits of a mixed (gram, place, seed)."""
+    with np.errstate(over="ignore"):
+        x = grams[:, None] * np.uint64(0x9E3779B97F4A7C15) + np.arange(dims, dtype=np.uint64) * np.uint64(0xBF58476D1CE4E5B9) + np.uint64(seed)
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    v = np.where(x >> np.uint64(63), 1.0, -1.0).sum(axis=0)
+    norm = np.linalg.norm(v)
+    return v / norm if norm else v
+
+
 def hashed_vectors(rows: DataFrame, id_column: str, text, dims: int = 256, bits: int = 18, seed: int = 42) -> DataFrame:
     """D3: hashed counts of words and word pairs, projected to ``dims`` by signs drawn from a hash, unit length.
 
     A Johnson-Lindenstrauss projection keeps inner products as well as a truncated decomposition and needs no pass over
     the corpus: each text becomes a vector where it is read. ``bits`` bound the hashed vocabulary.
     """
-    from citeweave.functions import text as T
-
     words = T.tokens(text)
     pairs = F.transform(F.slice(words, 1, F.greatest(F.size(words) - 1, F.lit(0))), lambda w, i: F.concat(w, F.lit(" "), F.element_at(words, i + 2)))
     grams = F.concat(words, pairs)
 
-    @F.pandas_udf("array<double>", F.PandasUDFType.SCALAR)
-    def project(batches):
-        out = []
-        for grams_of in batches:
-            v = np.zeros(dims)
-            for h in grams_of:
-                state = np.random.default_rng((seed, int(h)))
-                v += state.choice((-1.0, 1.0), dims)
-            norm = np.linalg.norm(v)
-            out.append((v / norm if norm else v).tolist())
-        import pandas as pd
-
-        return pd.Series(out)
+    def project(batches: pd.Series) -> pd.Series:
+        return pd.Series([_project(np.asarray(g, dtype=np.uint64), dims, seed).tolist() for g in batches])
 
+    project.__annotations__ = {"batches": pd.Series, "return": pd.Series}
     hashed = F.transform(grams, lambda g: F.pmod(F.xxhash64(g), F.lit(1 << bits)).cast("int"))
-    return rows.select(F.col(id_column), project(hashed).alias("embedding"))
+    return rows.select(F.col(id_column), F.pandas_udf(project, "array<double>")(hashed).alias("embedding"))

@@ -14,6 +14,7 @@ from citeweave.operators import fusion as FU
 from citeweave.operators import rerank as RR
 from citeweave.operators import rules as R
 from citeweave.operators import sparse as SP
+from citeweave.runtime import cut_lineage
 
 
 @dataclass(frozen=True)
@@ -86,7 +87,8 @@ def with_families(hits: DataFrame, config: Config) -> DataFrame:
 
 def laws_first(questions: DataFrame, corpus: DataFrame, dense: DataFrame | None = None, config: Config = Config(), reranker: RR.Reranker = RR.token_overlap) -> DataFrame:
     """Pipeline A: query_id, rank, citation. ``dense``: hits (query_id, source, citation, score) of an encoder, if any."""
-    queries = understand(questions, config)
+    # Understood once: every later stage would otherwise plan and evaluate the whole of it again.
+    queries = cut_lineage(understand(questions, config))
     names = corpus.where("norm <> ''").select("source", "row_id", F.col("norm").alias("citation"))
     rules = R.search(questions, corpus, config.rule_top_k, 0).select("query_id", F.col("citation"), "rank")
     index, stats = field_index(corpus, config.text_chars)
@@ -112,6 +114,8 @@ def laws_first(questions: DataFrame, corpus: DataFrame, dense: DataFrame | None
     rows = fused.join(sources, ["query_id", "citation"]).join(docs, "citation").join(ruled, ["query_id", "citation"], "left").fillna(0, ["is_rule"])
     rows = rows.join(queries.select("query_id", "query", "families", "explicit"), "query_id")
     rows = rows.withColumns({"is_family": F.coalesce(FU.family_match(), F.lit(False)).cast("int"), "is_issue": F.lit(0), "is_both": F.col("s") * F.col("v"), "is_dense_only": F.when((F.col("v") == 1) & (F.col("s") == 0), 1).otherwise(0)})
+    # The candidates are few (at most fused_top a query) and used three times.
+    rows, rules = cut_lineage(rows), cut_lineage(rules)
     if config.rerank_input_shaping:
         shaped = RR.shape_input(rows.withColumns({"is_laws": (F.col("source") == "laws_de").cast("int"), "pool_score": F.col("fused_score")}), config.fused_top, config.fused_top // 2)
         rows = shaped.drop("is_laws", "pool_score", "tier", "input_rank")
