@@ -93,7 +93,7 @@ def find_personal(
     base = counts.agg((F.sum("cued") / F.sum("total")).alias("base")).withColumn("base", F.coalesce("base", F.lit(1.0)))
     share = F.col("cued") / F.greatest(F.col("total") - F.col("firm"), F.col("cued"), F.lit(1))
     reveals = counts.where("cued > 0").crossJoin(F.broadcast(base)).select("term", share.alias("share"), F.log2(share / F.col("base")).alias("bits"))
-    words = F.udf(patterns.terms, "array<string>")
+    words = lambda c: F.filter(F.transform(F.regexp_extract_all(c, F.lit(r"[\p{L}\p{Nl}\p{No}]{2,}"), 0), lambda w: F.lower(w)), lambda w: ~w.isin(*sorted(patterns.PARTICLES)))
     names = seen.where("pii_type IN ('cue', 'run')").select("doc_id", "pii_type", "found_text")
     phrases = names.groupBy("pii_type", "found_text").agg(F.count(F.lit(1)).alias("n"))
     judged = phrases.select("pii_type", "found_text", F.explode(words("found_text")).alias("term")).join(reveals, "term", "left")
@@ -117,13 +117,14 @@ def redact(docs: DataFrame, doc_id: str, text: str, found: DataFrame) -> DataFra
     lists = found.groupBy(F.col("doc_id")).agg(F.collect_list(F.struct("pii_type", "found_text")).alias("_found"))
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).join(lists, "doc_id", "left")
 
-    @F.pandas_udf("string")
-    def masked(texts: pd.Series, findings: pd.Series) -> pd.Series:
-        return pd.Series([mask(t, f) for t, f in zip(texts, findings)])
-
+    masked = F.pandas_udf(_masked, "string")
     return rows.select("doc_id", F.when(F.col("_found").isNull(), F.col("text")).otherwise(masked("text", "_found")).alias("text"))
 
 
+def _masked(texts: pd.Series, findings: pd.Series) -> pd.Series:
+    return pd.Series([mask(t, f) for t, f in zip(texts, findings)])
+
+
 def mask(text: str | None, findings) -> str | None:
     if text is None or findings is None:
         return text
