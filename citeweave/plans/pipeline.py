@@ -105,7 +105,7 @@ def laws_first(questions: DataFrame, corpus: DataFrame, dense: DataFrame | None
     hits = lists[0]
     for more in lists[1:]:
         hits = hits.unionByName(more)
-    ranked = FU.rank_lists(hits)
+    ranked = cut_lineage(FU.rank_lists(hits))
     fused = FU.reciprocal_rank(ranked, config.fused_top).select("query_id", "citation", F.col("score").alias("fused_score"), F.col("rank").alias("fused_rank"))
     sources = ranked.groupBy("query_id", "citation").agg(F.min("source").alias("source"), F.max((F.col("list_id") == "dense").cast("int")).alias("v"), F.max((F.col("list_id") == "sparse").cast("int")).alias("s"))
     docs = corpus.where("norm <> ''").groupBy(F.col("norm").alias("citation")).agg(F.max_by(F.struct("title", "text"), F.struct("source", "row_id")).alias("d"))
