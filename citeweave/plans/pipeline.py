@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from citeweave.functions import lexicons as L
@@ -40,7 +40,7 @@ class Config:
     score_threshold: float = 0.15
     relative_threshold: float = 0.85
     rescue_top_k: int = 1
-    text_chars: int = 900
+    text_chars: int | None = None
 
 
 def understand(questions: DataFrame, config: Config) -> DataFrame:
@@ -54,9 +54,14 @@ def understand(questions: DataFrame, config: Config) -> DataFrame:
     return q.withColumn("laws_text", T.joined(T.sparse_view("clean", "words", "numbers"), german, F.when(F.size("families") > 0, family_words)))
 
 
-def field_index(corpus: DataFrame, text_chars: int) -> tuple[DataFrame, DataFrame]:
+def read_text(text: str, chars: int | None) -> Column:
+    """The whole text, or its first ``chars`` characters if a run asks for that."""
+    return F.col(text) if chars is None else F.left(text, F.lit(chars))
+
+
+def field_index(corpus: DataFrame, text_chars: int | None = None) -> tuple[DataFrame, DataFrame]:
     """One index over (source, field) with its statistics."""
-    rows = corpus.where("norm <> ''").withColumn("text", F.left("text", F.lit(text_chars)))
+    rows = corpus.where("norm <> ''").withColumn("text", read_text("text", text_chars))
     fields = F.array(*[F.struct(F.lit(f).alias("field"), F.col(c).alias("body")) for f, c in (("citation", "norm"), ("title", "title"), ("text", "text"))])
     docs = rows.select("source", "row_id", F.explode(fields).alias("f")).select("source", "f.field", "row_id", "f.body").where("NOT (source = 'court_considerations' AND field = 'title')")
     index = SP.postings(docs, F.col("body"), ["source", "field", "row_id"])
@@ -109,7 +114,7 @@ def laws_first(questions: DataFrame, corpus: DataFrame, dense: DataFrame | None
     fused = FU.reciprocal_rank(ranked, config.fused_top).select("query_id", "citation", F.col("score").alias("fused_score"), F.col("rank").alias("fused_rank"))
     sources = ranked.groupBy("query_id", "citation").agg(F.min("source").alias("source"), F.max((F.col("list_id") == "dense").cast("int")).alias("v"), F.max((F.col("list_id") == "sparse").cast("int")).alias("s"))
     docs = corpus.where("norm <> ''").groupBy(F.col("norm").alias("citation")).agg(F.max_by(F.struct("title", "text"), F.struct("source", "row_id")).alias("d"))
-    docs = docs.select("citation", F.concat_ws(" ", "citation", "d.title", F.left("d.text", F.lit(config.text_chars))).alias("body"))
+    docs = docs.select("citation", F.concat_ws(" ", "citation", "d.title", read_text("d.text", config.text_chars)).alias("body"))
     ruled = rules.select("query_id", "citation").distinct().withColumn("is_rule", F.lit(1))
     rows = fused.join(sources, ["query_id", "citation"]).join(docs, "citation").join(ruled, ["query_id", "citation"], "left").fillna(0, ["is_rule"])
     rows = rows.join(queries.select("query_id", "query", "families", "explicit"), "query_id")
@@ -142,7 +147,7 @@ def baseline(hits: DataFrame, queries: DataFrame, docs: DataFrame, weights: dict
 def bm25_baseline(questions: DataFrame, corpus: DataFrame, top_n: int = 8) -> DataFrame:
     """Pipeline C: one index over both sources, fifty best rows, first occurrences of their citations."""
     docs = corpus.where("norm <> ''").withColumn("all", F.lit("all"))
-    body = T.joined(F.col("norm"), F.col("title"), F.left("text", F.lit(1000)))
+    body = T.joined(F.col("norm"), F.col("title"), F.col("text"))
     scores = SP.bm25(docs, body, ["all", "source", "row_id"], ["all"], questions, "query_id", F.col("query"))
     best = SP.top_k(scores, ["query_id"], [F.desc("score"), F.asc("source"), F.asc("row_id")], 50)
     ranked = best.join(docs.select("source", "row_id", F.col("norm").alias("citation")), ["source", "row_id"])

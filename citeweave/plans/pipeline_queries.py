@@ -21,7 +21,7 @@ def pipeline_laws_first(spark: SparkSession, d: str) -> DataFrame:
 
 def pipeline_baseline(spark: SparkSession, d: str) -> DataFrame:
     """Pipeline B for all questions over the recorded hits."""
-    docs = C.doc_lookup(C.corpus(spark, d)).select(F.col("norm").alias("citation"), "source", T.joined(F.col("norm"), F.col("title"), F.left("text", F.lit(900))).alias("body"))
+    docs = C.doc_lookup(C.corpus(spark, d)).select(F.col("norm").alias("citation"), "source", T.joined(F.col("norm"), F.col("title"), F.col("text")).alias("body"))
     return P.baseline(C.hits(spark, d), C.questions(spark, d), docs, {"sparse_bm25": 0.6, "dense_multi_view": 0.4, "rule_exact": 0.35})
 
 
