@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from citeweave.functions import text as T
 from citeweave.operators.sparse import top_k
+from citeweave.runtime import cut_lineage, shuffle_partitions
 
 
 def rank_lists(hits: DataFrame, cut: int | None = None) -> DataFrame:
@@ -16,6 +17,21 @@ def rank_lists(hits: DataFrame, cut: int | None = None) -> DataFrame:
     return ranked.where(F.col("rank") <= cut) if cut is not None else ranked
 
 
+def rank_whole(hits: DataFrame) -> DataFrame:
+    """The ranks of ``rank_lists`` for lists of any length: rows are spread by ranges of the order, so a hot list takes
+    many tasks; each counts on from the rows of its list in the ranges before."""
+    lists = ["query_id", "list_id"]
+    order = [F.desc("score"), F.asc("citation"), F.asc("source")]
+    spread = hits.repartitionByRange(shuffle_partitions(hits.sparkSession), *lists, *order).withColumn("_p", F.spark_partition_id())
+    # Materialised, so that both readers see the same ranges.
+    rows = cut_lineage(spread)
+    counts = rows.groupBy(*lists, "_p").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy(*lists).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
+    local = rows.withColumn("rank", F.row_number().over(Window.partitionBy(*lists, "_p").orderBy(*order)))
+    return local.join(counts, [*lists, "_p"]).withColumn("rank", (F.col("rank") + F.col("_before")).cast("int")).drop("_p", "_before")
+
+
 def source_factor(laws: float, court: float) -> Column:
     """F3."""
     return F.when(F.col("source") == "laws_de", F.lit(laws)).when(F.col("source") == "court_considerations", F.lit(court)).otherwise(F.lit(1.0))

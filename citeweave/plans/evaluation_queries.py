@@ -300,9 +300,9 @@ def preflight(spark: SparkSession, d: str) -> DataFrame:
 # ---- grids and mining -----------------------------------------------------------------------------------------------
 
 
-def _raw_fields(spark: SparkSession, d: str) -> DataFrame:
-    """Raw scores by field from the recorded hits of the field branches."""
-    rows = RQ.lists(spark, d).where("list_id IN ('sparse_citation', 'sparse_title', 'sparse_text')")
+def _raw_fields(spark: SparkSession, d: str, whole: bool = False) -> DataFrame:
+    """Raw scores by field from the recorded hits of the field branches; ``whole`` takes the lists uncut."""
+    rows = (C.hits(spark, d) if whole else RQ.lists(spark, d)).where("list_id IN ('sparse_citation', 'sparse_title', 'sparse_text')")
     return rows.select("query_id", "source", "citation", F.regexp_replace("list_id", "sparse_", "").alias("field"), "score")
 
 
@@ -350,7 +350,7 @@ def citation_boost_grid(spark: SparkSession, d: str) -> DataFrame:
     """Mean recall by strength of the boosts."""
     grid = G.configs(spark, b_pattern=[0.0, 0.5], b_family=[0.0, 0.3], b_overlap=[0.0, 0.2]).withColumns({"w_citation": F.lit(2.0), "w_title": F.lit(2.0), "w_text": F.lit(1.0)})
     views = query_views(spark, d).select("query_id", "numbers", T.citation_tokens("query").alias("q_tokens")).withColumn("q_families", F.filter("q_tokens", lambda t: t.isin(*L.FAMILIES_LAST)))
-    parts = G.components(_raw_fields(spark, d)).join(views, "query_id")
+    parts = G.components(_raw_fields(spark, d, whole=True)).join(views, "query_id")
     rows = G.citation_boost(G.weigh(parts, grid), F.col("numbers"), F.col("q_families"), F.col("q_tokens"))
     return G.grid_recall(C.gold(spark, d), G.ranked(rows, 200), grid, (100, 200))
 
@@ -358,7 +358,7 @@ def citation_boost_grid(spark: SparkSession, d: str) -> DataFrame:
 def fp_profile(spark: SparkSession, d: str) -> DataFrame:
     """For gold that ranks beyond 100 or nowhere, the twenty best rivals and what lifts them (a top-k report)."""
     grid = G.configs(spark, w_citation=[2.0], w_title=[2.0], w_text=[1.0])
-    weighed = G.weigh(G.components(_raw_fields(spark, d)), grid)
+    weighed = G.weigh(G.components(_raw_fields(spark, d, whole=True)), grid)
     ranked = G.ranked(weighed, 200).where("source = 'laws_de'")
     gold = C.gold(spark, d)
     lost = gold.join(ranked.select("query_id", "citation", F.col("rank").alias("gold_rank"), *[F.col(a).alias(f"g_{a}") for a in "ctx"]), ["query_id", "citation"], "left")
@@ -372,7 +372,8 @@ def fp_profile(spark: SparkSession, d: str) -> DataFrame:
 def hard_negatives(spark: SparkSession, d: str) -> DataFrame:
     """M1, M2: one positive and one hard negative law for every query with gold laws."""
     docs = C.doc_lookup(C.corpus(spark, d)).where("source = 'laws_de'").select(F.col("norm").alias("citation"), F.lower("text").alias("text"))
-    return M.hard_negatives(query_views(spark, d), C.gold(spark, d), RQ.rrf(spark, d).select("query_id", "citation", "rank"), docs)
+    fused = FU.reciprocal_rank(RQ.whole_lists(spark, d), 20)
+    return M.hard_negatives(query_views(spark, d), C.gold(spark, d), fused.select("query_id", "citation", "rank"), docs)
 
 
 QUERIES = {

@@ -142,6 +142,11 @@ def lists(spark: SparkSession, d: str) -> DataFrame:
     return FU.rank_lists(C.hits(spark, d), LIST_CUT)
 
 
+def whole_lists(spark: SparkSession, d: str) -> DataFrame:
+    """The branches' lists uncut, for the queries whose SQL does not cut them."""
+    return FU.rank_whole(C.hits(spark, d))
+
+
 def rrf(spark: SparkSession, d: str) -> DataFrame:
     return FU.reciprocal_rank(lists(spark, d), 20)
 

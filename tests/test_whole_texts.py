@@ -42,6 +42,6 @@ def test_baseline_and_mining_read_whole_texts(spark, monkeypatch):
     monkeypatch.setattr(PQ.P, "baseline", lambda hits, queries, docs, weights: docs)
     assert any(r.body.endswith("Spaetwort") for r in PQ.pipeline_baseline(spark, "").collect())
     monkeypatch.setattr(EQ, "query_views", lambda s, d: None)
-    monkeypatch.setattr(EQ.RQ, "rrf", lambda s, d: corpus(s).selectExpr("'q' AS query_id", "citation", "1 AS rank"))
+    monkeypatch.setattr(EQ.C, "hits", lambda s, d: corpus(s).selectExpr("'q' AS query_id", "'l' AS list_id", "source", "citation", "1.0D AS score"))
     monkeypatch.setattr(EQ.M, "hard_negatives", lambda views, gold, candidates, docs: docs)
     assert any(r.text.endswith("spaetwort") for r in EQ.hard_negatives(spark, "").collect())
