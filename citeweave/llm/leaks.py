@@ -3,14 +3,14 @@
 from __future__ import annotations
 
 import re
+import zlib
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from citeweave.runtime import cut_lineage
@@ -28,10 +28,32 @@ def fold(text: str) -> str:
     return text
 
 
+class _Known(dict):
+    """Words as codes of one item, remembered; -1 is a word that may be a piece of a word or two words run together."""
+
+    def __init__(self, items: Items, k: int) -> None:
+        super().__init__()
+        self.exact, self.shorter, self.joined = items.near(k)
+        self.alike = items.alike
+        self.starts = {w[:i] for w in self.exact for i in range(1, len(w))}
+
+    def spelt(self, w: str) -> int:
+        return next((self.shorter[v][0] for v in self.alike(w) if v in self.shorter), 0)
+
+    def __missing__(self, w: str) -> int:
+        code = self.exact.get(w, 0) or (-1 if w in self.starts or w in self.joined else self.spelt(w))
+        self[w] = code
+        return code
+
+
+def deletions(w: str) -> list[str]:
+    return [w, *(w[:i] + w[i + 1 :] for i in range(len(w)))]
+
+
 class Items:
     """Evaluation items as word codes, their n-grams, and each item's words with their near spellings."""
 
-    def __init__(self, items: list[tuple[int, str]], n: int, owners: int) -> None:
+    def __init__(self, items: list[tuple[int, str]], n: int, owners: int | None) -> None:
         self.ids = [i for i, _ in items]
         self.words = [_WORDS.findall(fold(t)) for _, t in items]
         self.vocabulary = {w: k for k, w in enumerate(sorted({w for ws in self.words for w in ws}), 1)}
@@ -44,13 +66,8 @@ class Items:
                 for c in codes[at : at + n]:
                     key = key * self.base + c
                 grams[key].append((k, at))
-        # Wording that more than a few items share tells nothing about which of them leaked.
-        grams = {k: p for k, p in grams.items() if len({i for i, _ in p}) <= owners}
-        holders: dict[str, int] = defaultdict(int)
-        for ws in self.words:
-            for w in set(ws):
-                holders[w] += 1
-        self.telling = [[holders[w] <= max(1, 0.05 * len(items)) and len(w) > 1 for w in ws] for ws in self.words]
+        if owners is not None:
+            grams = {k: p for k, p in grams.items() if len({i for i, _ in p}) <= owners}
         keys = np.array(sorted(grams), dtype=np.int64)
         self.keys = keys
         places = [grams[k] for k in keys.tolist()]
@@ -59,6 +76,17 @@ class Items:
         self.at_of = np.array([a for p in places for _, a in p], dtype=np.int64)
         self.lengths = np.array([len(w) for w in self.words], dtype=np.int64)
         self._near: dict[int, tuple[dict, dict, dict]] = {}
+        self.shorter = {v for w in self.vocabulary if len(w) > 3 and not w.isdigit() for v in deletions(w)}
+        self._alike: dict[str, list[str]] = {}
+        self._known: dict[int, _Known] = {}
+
+    def alike(self, w: str) -> list[str]:
+        """The word and its deletions, as far as any item's words have them."""
+        if w not in self._alike:
+            if len(self._alike) > 200_000:
+                self._alike.clear()
+            self._alike[w] = [v for v in deletions(w) if v in self.shorter] if len(w) > 3 and not w.isdigit() else []
+        return self._alike[w]
 
     def near(self, k: int) -> tuple[dict[str, int], dict[str, list[int]], dict[str, tuple[int, int]]]:
         """Of item k: word -> code, deletion -> codes, two adjacent words run together -> their codes."""
@@ -69,39 +97,49 @@ class Items:
             shorter: dict[str, list[int]] = defaultdict(list)
             for w, c in exact.items():
                 if len(w) > 3 and not w.isdigit():
-                    for v in {w, *(w[:i] + w[i + 1 :] for i in range(len(w)))}:
+                    for v in set(deletions(w)):
                         shorter[v].append(c)
             joined = {a + b: (exact[a], exact[b]) for a, b in zip(self.words[k], self.words[k][1:])}
             self._near[k] = exact, shorter, joined
         return self._near[k]
 
-    def codes(self, k: int, words: list[str]) -> list[int]:
-        """A passage's words as codes of item k; 0 is a word the item does not have.
+    def known(self, k: int) -> _Known:
+        if k not in self._known:
+            self._known[k] = _Known(self, k)
+        elif len(self._known[k]) > max(500, 1_000_000 // len(self.ids)):
+            self._known[k].clear()
+        return self._known[k]
+
+    def codes(self, k: int, words: list[str], part: bool = True) -> tuple[list[int], Sequence[int]]:
+        """A passage's words as codes of item k, and the place of each; 0 is a word the item does not have.
 
         One letter too many, too few, changed or swapped with its neighbour is forgiven; a word broken in two is
-        mended, two run together are parted.
+        mended, two run together are parted (unless not ``part``: "zudem" may also be put in beside "zu dem").
         """
-        exact, shorter, joined = self.near(k)
-        out, i = [], 0
+        exact, _, joined = self.near(k)
+        known = self.known(k)
+        alone = list(map(known.__getitem__, words))
+        if -1 not in alone:
+            return alone, range(len(words))
+        out, places, i = [], [], 0
         while i < len(words):
-            w = words[i]
-            code = exact.get(w, 0)
-            if not code and i + 1 < len(words) and (pair := exact.get(w + words[i + 1], 0)):
-                out.append(pair)
-                i += 2
-                continue
-            if not code and w in joined:
-                out += joined[w]
-                i += 1
-                continue
-            if not code and len(w) > 3 and not w.isdigit():
-                for v in (w, *(w[:j] + w[j + 1 :] for j in range(len(w)))):
-                    if v in shorter:
-                        code = shorter[v][0]
-                        break
+            w, code = words[i], alone[i]
+            if code < 0:
+                if i + 1 < len(words) and (pair := exact.get(w + words[i + 1], 0)):
+                    out.append(pair)
+                    places.append(i)
+                    i += 2
+                    continue
+                if part and w in joined:
+                    out += joined[w]
+                    places += [i, i]
+                    i += 1
+                    continue
+                code = known.spelt(w)
             out.append(code)
+            places.append(i)
             i += 1
-        return out
+        return out, places
 
 
 _ONE, _MASK = 1 << 20, (1 << 20) - 1
@@ -136,13 +174,78 @@ def align(pairs: list[tuple[list[int], list[int]]]) -> list[tuple[int, int, int]
     return [(int(b >> 20), int(_MASK - (b & _MASK)), int(e)) for b, e in zip(best, last)]
 
 
-PASSAGE = pa.struct([("item", pa.int32()), ("words", pa.string()), ("seeds", pa.list_(pa.int32()))])
-HITS = pa.schema([("doc_id", pa.int64()), ("seeds", pa.list_(pa.int32())), ("passages", pa.list_(PASSAGE))])
-SPARK_HITS = "doc_id bigint, seeds array<int>, passages array<struct<item: int, words: string, seeds: array<int>>>"
+#: Of a cell: its score in units of _UNIT, and below it the item words covered, which decide between equal scores.
+_UNIT = 1 << 15
+_NONE = -(1 << 28)
+_BROKEN = re.compile(rb"\x00(?=\x00|\x01\x00)")
+
 
+def claims(pairs: list[tuple[list[int], list[int]]], span: int, share: float) -> list[tuple[int, list[int]] | None]:
+    """Of many (item, passage) pairs at once: (score, places of the passage that match) of the best stretch of ``span`` item
+    words or more in which every edit stands alone, or None.
 
-def _seed(items: Items, n: int, drift: int, reach: int, least: int):
-    """Documents -> the seeds they hold, and passages where ``least`` seeds of one item lie on nearly one diagonal."""
+    Match 1, a word replaced, left out or put in -1; two matches or more stand between edits. So a stretch never bridges
+    edits side by side, and needs no telling words: wording that items share ends where their own words differ.
+    """
+    n, m = max(len(a) for a, _ in pairs), max(len(b) for _, b in pairs)
+    item = np.full((len(pairs), n), -1, dtype=np.int32)
+    passage = np.zeros((len(pairs), m), dtype=np.int32)
+    for k, (a, b) in enumerate(pairs):
+        item[k, : len(a)], passage[k, : len(b)] = a, b
+    # Of each cell: an alignment that ends in a match right behind an edit, in another match, or in an edit.
+    single, match, edit = (np.full((n + 1, len(pairs), m + 1), _NONE, dtype=np.int32) for _ in range(3))
+    for i in range(1, n + 1):
+        same = passage == item[:, i - 1 : i]
+        single[i, :, 1:] = np.where(same, edit[i - 1, :, :-1] + (_UNIT + 1), _NONE)
+        before = np.maximum(np.maximum(single[i - 1, :, :-1], match[i - 1, :, :-1]), 0)
+        match[i, :, 1:] = np.where(same, before + (_UNIT + 1), _NONE)
+        edit[i] = match[i - 1] - (_UNIT - 1)
+        edit[i, :, 1:] = np.maximum(edit[i, :, 1:], np.maximum(match[i - 1, :, :-1] - (_UNIT - 1), match[i, :, :-1] - _UNIT))
+    ends = np.maximum(single, match)
+    ends = np.where((ends > 0) & (ends & (_UNIT - 1) >= span), ends, _NONE).transpose(1, 0, 2).reshape(len(pairs), -1)
+    out: list[tuple[int, list[int]] | None] = []
+    for k, at in enumerate(ends.argmax(axis=1).tolist()):
+        best = int(ends[k, at])
+        score, covered = best // _UNIT, best & (_UNIT - 1)
+        if best <= 0 or score < covered * share:
+            out.append(None)
+            continue
+        i, j = divmod(at, m + 1)
+        value, places = best, []
+        while True:
+            places.append(j - 1)
+            behind_edit = single[i, k, j] == value
+            i, j, value = i - 1, j - 1, value - (_UNIT + 1)
+            if behind_edit:
+                if match[i - 1, k, j - 1] - (_UNIT - 1) == value:
+                    i, j, value = i - 1, j - 1, value + (_UNIT - 1)
+                elif match[i - 1, k, j] - (_UNIT - 1) == value:
+                    i, value = i - 1, value + (_UNIT - 1)
+                else:
+                    j, value = j - 1, value + _UNIT
+            elif value <= 0:
+                break
+        out.append((score, places[::-1]))
+    return out
+
+
+def promising(seen: list[int], span: int) -> bool:
+    """Whether a passage can hold a stretch at all: words the item lacks are edits, and between edits stand two matches,
+    so ``span`` words take two matches in three without two lacking words beside each other or around one word. (A
+    stretch's ends may lose a word to the cuts, hence the two less.)"""
+    least = -(-2 * span // 3) - 2
+    return any(part.count(1) >= least for part in _BROKEN.split(bytes(map(bool, seen))))
+
+
+CLAIMS = pa.schema([("doc_id", pa.int64()), ("copy", pa.int64()), ("item_id", pa.int64()), ("places", pa.list_(pa.int32()))])
+SPARK_CLAIMS = "doc_id bigint, copy bigint, item_id bigint, places array<int>"
+
+
+def _search(items: Items, n: int, drift: int, reach: int, least: int, span: int, share: float, many_at_once: int = 128):
+    """Documents -> the stretches of items they hold, with the places of the matching words.
+
+    A passage is looked at where ``least`` seeds of one item lie on nearly one diagonal, however common they are.
+    """
     get = items.vocabulary.get
 
     def op(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -177,68 +280,54 @@ def _seed(items: Items, n: int, drift: int, reach: int, least: int):
             new[1:] = (h_doc[1:] != h_doc[:-1]) | (h_item[1:] != h_item[:-1]) | (np.abs(np.diff(diagonal)) > drift) | (np.diff(h_at) > reach)
             starts = np.flatnonzero(new)
             ends = np.append(starts[1:], len(h_at))
-            passages: dict[int, list[dict]] = defaultdict(list)
+            wanted: dict[tuple[int, str], list[tuple[int, int]]] = defaultdict(list)
             for a, b in zip(starts[ends - starts >= least].tolist(), ends[ends - starts >= least].tolist()):
-                seeds = np.unique(h_gram[a:b]).tolist()
-                if len(seeds) < least:
+                if len(np.unique(h_gram[a:b])) < least:
                     continue
                 d, k = int(h_doc[a]), int(h_item[a])
                 low = int(borders[d - 1]) + 1 if d else 0
                 high = int(borders[d]) if d < len(borders) else len(words)
                 first = max(low, int(h_at[a]) - int(h_place[a]) - drift)
                 final = min(high, int(h_at[b - 1]) + int(items.lengths[k]) - int(h_place[b - 1]) + drift)
-                passages[d].append({"item": k, "words": " ".join(words[first:final]), "seeds": seeds})
-            ids = batch.column(0)
-            cut = np.flatnonzero(np.diff(doc)) + 1
-            docs = doc[np.concatenate([[0], cut])]
-            out = [np.unique(g).tolist() for g in np.split(gram, cut)]
-            yield pa.record_batch([ids.take(pa.array(docs)), pa.array(out, HITS.field(1).type), pa.array([passages.get(d, []) for d in docs.tolist()], HITS.field(2).type)], schema=HITS)
-
-    return op
-
-
-def _verify(items: Items, block: int = 128):
-    """Passages -> score, item words covered, and the share of the covered telling words that the passage has."""
-
-    def op(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            pairs = []
-            for k, text in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+                # Documents that hold the same passage share one alignment.
+                wanted[k, " ".join(words[first:final])].append((d, first - low))
+            ids, todo = batch.column(0).to_pylist(), []
+            for k, text in wanted:
                 exact = items.near(k)[0]
-                pairs.append(([exact[w] for w in items.words[k]], items.codes(k, text.split(" "))))
-            order = sorted(range(len(pairs)), key=lambda i: len(pairs[i][1]))
-            docs, found, scores, spans, shares = [], [], [], [], []
-            ids, which = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for a in range(0, len(order), block):
-                part = order[a : a + block]
-                for i, (score, first, last) in zip(part, align([pairs[i] for i in part])):
-                    mine, seen = pairs[i]
-                    there = set(seen)
-                    own = [c in there for c, t in zip(mine[first : last + 1], items.telling[which[i]][first : last + 1]) if t]
-                    docs.append(ids[i]), found.append(items.ids[which[i]]), scores.append(score)
-                    spans.append(last - first + 1 if score else 0), shares.append(sum(own) / max(1, len(own)))
-            yield pa.record_batch([pa.array(docs, pa.int64()), pa.array(found, pa.int64()), pa.array(scores, pa.int32()), pa.array(spans, pa.int32()), pa.array(shares, pa.float64())], names=["doc_id", "item_id", "score", "span", "telling"])
+                spoken = text.split(" ")
+                readings = [items.codes(k, spoken)]
+                if not items.near(k)[2].keys().isdisjoint(spoken):
+                    readings.append(items.codes(k, spoken, False))
+                for seen, places in readings:
+                    if promising(seen, span):
+                        todo.append((([exact[w] for w in items.words[k]], seen), places, (k, text)))
+            todo.sort(key=lambda x: len(x[0][1]))
+            rows = []
+            for a in range(0, len(todo), many_at_once):
+                part = todo[a : a + many_at_once]
+                for claim, (_, places, key) in zip(claims([x[0] for x in part], span, share), part):
+                    if claim:
+                        for d, first in wanted[key]:
+                            rows.append((ids[d], zlib.crc32(texts[d].encode()), items.ids[key[0]], [first + places[j] for j in claim[1]]))
+            yield pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*rows) if rows else [[]] * 4, CLAIMS)], schema=CLAIMS)
 
     return op
 
 
 def leaked_items(
     docs: DataFrame, doc_id: str, text: str, evals: DataFrame, item_id: str, item_text: str,
-    n: int = 3, owners: int = 3, span: int = 15, share: float = 0.3, least: int = 2, rare: float = 0.005, drift: int = 12, reach: int = 40, block: int = 5000,
+    n: int = 3, owners: int | None = None, span: int = 15, share: float = 0.3, least: int = 2, rare: float | None = None, drift: int = 12, reach: int = 40, block: int = 5000,
 ) -> DataFrame:
     """Every (``doc_id``, ``item_id``) where the document holds at least ``span`` consecutive words of the item, edits allowed.
 
     1. Items are a stated query set; they are worked off in blocks of ``block``, each small enough for every task.
     2. Each task looks the ``n``-grams of its documents up among those of the items. Where ``least`` of them lie near one
-       diagonal, the passage around them is kept.
-    3. A seed counts if it is rare: in at most ``rare`` of all documents, or no commoner than three times the median
-       seed of its item (an item that leaked everywhere has common seeds throughout). Document frequencies cover all
-       documents; the seeds of a block are few, so their table is broadcast.
-       Wording that more than ``owners`` items share is no seed.
-    4. Passages with ``least`` rare seeds are aligned word by word (Smith-Waterman). It is a leak if the alignment covers
-       ``span`` words of the item, scores at least ``share`` of them, and has the item's telling words (those in at most
-       a twentieth of the items): nine in ten, half of them in a long alignment, two in three in one near the document's best.
-       So an item that only shares its phrasing with the one that leaked is not reported.
+       diagonal, the passage around them is aligned with the item, word by word; how many documents or items hold an
+       n-gram does not matter. (``owners``, if given, leaves out those of more items of a block. ``rare`` has no effect.)
+    3. It is a leak if a stretch of ``span`` words of the item is there in order with single words left out, put in or
+       replaced, and scores at least ``share`` of them. Each pair is decided by its own alignment.
+    4. Where items claim the same words of a document, an item gives way to one that matches more of the words in its
+       stretch. So an item that only shares its phrasing with the one that leaked is not reported.
 
     Cases: NULL and empty texts hold nothing; items of fewer than ``n`` words or below ``span`` words are never found;
     repeated rows give one result; very long texts are searched whole; empty tables give an empty result; other columns
@@ -248,30 +337,18 @@ def leaked_items(
     wanted = evals.select(F.col(item_id).cast("long").alias("item_id"), F.col(item_text).alias("text")).where("item_id IS NOT NULL AND length(text) > 0")
     wanted = wanted.dropDuplicates(["item_id"])
     blocks = max(1, -(-wanted.count() // block))
-    most = None
     out = None
     for b in range(blocks):
         part = wanted.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b).orderBy("item_id").collect()
         items = Items([(r.item_id, r.text) for r in part], n, owners)
         if not len(items.keys):
             continue
-        hits = cut_lineage(rows.mapInArrow(_seed(items, n, drift, reach, least), SPARK_HITS))
-        most = rows.count() if most is None else most
-        seen = hits.select(F.explode("seeds").alias("seed")).groupBy("seed").agg(F.count(F.lit(1)).alias("docs"))
-        held = docs.sparkSession.createDataFrame(
-            [(int(k), int(i)) for g in range(len(items.keys)) for k, i in zip(repeat(g), items.item_of[items.offsets[g] : items.offsets[g + 1]].tolist())], "seed int, item int"
-        )
-        held = held.distinct().join(seen, "seed", "left").withColumn("docs", F.coalesce("docs", F.lit(0)))
-        usual = held.where("docs > 0").groupBy("item").agg(F.percentile("docs", F.lit(0.5)).alias("median"))
-        weights = held.join(usual, "item").where((F.col("docs") <= F.lit(max(10.0, rare * most))) | (F.col("docs") <= 3 * F.col("median")))
-        good = weights.groupBy("item").agg(F.collect_set("seed").alias("good"))
-        passages = hits.select("doc_id", F.inline("passages")).join(F.broadcast(good), "item")
-        passages = passages.where(F.size(F.array_intersect("seeds", "good")) >= least).select("doc_id", "item", "words")
-        found = passages.mapInArrow(_verify(items), "doc_id bigint, item_id bigint, score int, span int, telling double")
+        found = rows.mapInArrow(_search(items, n, drift, reach, least, span, share), SPARK_CLAIMS)
         out = found if out is None else out.unionByName(found)
     if out is None:
         return docs.sparkSession.createDataFrame([], "doc_id bigint, item_id bigint")
-    best = F.max("score").over(Window.partitionBy("doc_id"))
-    sure = (F.col("telling") >= 0.9) | (F.col("telling") >= 0.5) & (F.col("span") >= 1.6 * span) | (F.col("telling") >= 0.65) & (F.col("score") >= 0.7 * F.col("best"))
-    out = out.withColumn("best", best).where((F.col("span") >= span) & (F.col("score") >= F.col("span") * share) & sure)
-    return out.select("doc_id", "item_id").distinct()
+    out = cut_lineage(out)
+    mine, other = out.alias("a"), out.alias("b")
+    inside = F.size(F.filter("b.places", lambda p: (p >= F.element_at("a.places", 1)) & (p <= F.element_at("a.places", -1))))
+    better = (F.col("a.doc_id") == F.col("b.doc_id")) & (F.col("a.copy") == F.col("b.copy")) & (F.col("a.item_id") != F.col("b.item_id")) & (inside > F.size("a.places"))
+    return mine.join(other, better, "left_anti").select("doc_id", "item_id").distinct()

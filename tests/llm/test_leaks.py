@@ -45,3 +45,56 @@ def test_an_item_that_leaked_everywhere_is_still_found(spark):
     docs = spark.createDataFrame([(i, texts(1) if i % 3 == 0 else texts(1000 + i)) for i in range(90)], "id long, t string")
     got = {tuple(r) for r in leaked_items(docs, "id", "t", items, "iid", "body", rare=0.01).collect()}
     assert got == {(i, 1) for i in range(0, 90, 3)}
+
+
+def found(spark, docs, items, **options):
+    corpus = spark.createDataFrame(list(docs.items()), "id long, t string")
+    wanted = spark.createDataFrame(list(items.items()), "iid long, body string")
+    return {tuple(r) for r in leaked_items(corpus, "id", "t", wanted, "iid", "body", **options).collect()}
+
+
+def test_a_common_passage_of_an_item_is_found_beside_its_rare_seeds(spark):
+    items = {i: texts(i, 80) for i in range(1, 6)}
+    hot = " ".join(items[1].split()[20:40])
+    docs = {i: f"{texts(500 + i)} {hot} {texts(900 + i)}" if i % 3 == 0 else texts(1000 + i) for i in range(90)}
+    docs[100] = items[1]
+    assert found(spark, docs, items) == {(i, 1) for i in range(0, 90, 3)} | {(100, 1)}
+
+
+def test_one_replaced_inner_word_never_loses_a_passage(spark):
+    items = {i: texts(i, 80) for i in range(1, 8)}
+    docs, expected = {}, set()
+    for at in (0, 1, 2, 3):
+        for k in range(1, 14):
+            words = items[1].split()[at : at + 15]
+            words[k] = "ersetzt"
+            n = len(docs)
+            docs[n] = f"{texts(600 + n)} {' '.join(words)} {items[2] if n % 2 else texts(700 + n)}"
+            expected |= {(n, 1), (n, 2)} if n % 2 else {(n, 1)}
+    assert found(spark, docs, items) == expected
+
+
+def test_wording_of_many_items_is_found_in_each_and_two_edits_in_a_row_end_a_passage(spark):
+    shared = " ".join(texts(50, 24).split()[:20])
+    items = {i: f"{shared} {texts(i)}" for i in range(1, 8)}
+    docs = {1: f"vorn {shared} hinten", 2: items[3]}
+    every = {(1, i) for i in items} | {(2, i) for i in items}
+    assert found(spark, docs, items) - every == set()
+    assert found(spark, docs, items) >= {(1, i) for i in items} | {(2, 3)}
+    assert found(spark, docs, items, block=2) == found(spark, docs, items)
+    words = items[1].split()[20:48]
+    words[12:14] = ["ganz", "anders"]
+    assert found(spark, {1: " ".join(words[:26])}, items) == set()
+
+
+def test_an_item_that_only_shares_phrasing_gives_way(spark):
+    words = texts(60, 40).split()
+    near = [("anders" if k % 6 == 5 else w) for k, w in enumerate(words)]
+    items = {1: " ".join(words), 2: " ".join(near), 3: texts(3)}
+    assert found(spark, {1: items[1], 2: items[2]}, items) == {(1, 1), (2, 2)}
+
+
+def test_a_word_put_in_that_reads_like_two_of_the_item(spark):
+    words = texts(70, 40).split()
+    items = {1: " ".join(["zu", "dem", *words])}
+    assert found(spark, {1: " ".join([*words[:8], "zudem", *words[8:15]])}, items) == {(1, 1)}
