@@ -1,4 +1,4 @@
-"""Filling fixed-capacity containers: local best fit, nearly full containers leave, the rest meets in a tree."""
+"""Filling fixed-capacity containers: local best fit, nearly full containers leave, all the rest is mixed and packed again."""
 
 from __future__ import annotations
 
@@ -119,39 +119,37 @@ ROWS = pa.schema([("container_id", pa.int64()), ("done", pa.bool_()), ("used", p
 SPARK_ROWS = "container_id bigint, done boolean, used int, items array<struct<doc_id: bigint, piece_no: int, start: int, end: int, n_tokens: int>>"
 
 
-def _pack(sizes: list[int], groups: list[list[dict]], capacity: int, slack: int, level: int, last: bool, carry: int, keep: int) -> pa.RecordBatch:
-    """Best fit in decreasing order; what is nearly full is done, what may still be filled is handed on.
-
-    Best fit leaves at most one container at or below half. Only such a one can enter another, so its items go on one
-    by one, with the ``keep`` emptiest of the others as places for them; every further container is as full as it can
-    get and leaves now. So what one task hands on is bounded, whatever the input.
-    """
+def _pack(sizes: list[int], groups: list[list[dict]], capacity: int, slack: int, level: int, last: bool, carry: int) -> pa.RecordBatch:
+    """Best fit in decreasing order; what is nearly full is done, the items of every other container are handed on one by
+    one, so that those of other tasks can fill up with them."""
     fit = BestFit(capacity)
     for i in np.argsort(-np.asarray(sizes, dtype=np.int64), kind="stable").tolist():
         fit.add(sizes[i], i)
-    order = sorted(range(len(fit.bins)), key=lambda b: -fit.room[b])
-    on = {b for b in order[:keep] if fit.room[b] > slack} if not last else set()
+    on = {b for b in range(len(fit.bins)) if fit.room[b] > slack} if not last else set()
     base = (level << 56) | (carry << 28)
     ids, done, used, items = [], [], [], []
     for b, members in enumerate(fit.bins):
         content = [x for i in members for x in groups[i]]
-        if b in on and fit.room[b] * 2 >= capacity:
+        if b in on:
             for x in content:
                 ids.append(0), done.append(False), used.append(x["n_tokens"]), items.append([x])
         else:
-            ids.append(base | b), done.append(b not in on), used.append(capacity - fit.room[b]), items.append(content)
+            ids.append(base | b), done.append(True), used.append(capacity - fit.room[b]), items.append(content)
     return pa.record_batch([pa.array(ids, pa.int64()), pa.array(done, pa.bool_()), pa.array(used, pa.int32()), pa.array(items, ROWS.field("items").type)], schema=ROWS)
 
 
 def pack_documents(
-    df: DataFrame, doc_id: str, text: str, capacity: int, tokenizer_file: str, slack: int | None = None, fan_in: int = 16, keep: int = 256
+    df: DataFrame, doc_id: str, text: str, capacity: int, tokenizer_file: str, slack: int | None = None, fan_in: int = 16, keep: int | None = None, most: int = 100_000
 ) -> DataFrame:
     """Containers of at most ``capacity`` tokens: ``container_id``, ``doc_id``, ``piece_no``, ``start``, ``end``, ``n_tokens``.
 
     ``start`` and ``end`` are character offsets; a text that fits comes out whole (piece 0), one that alone exceeds the
     capacity in consecutive parts cut between words. Texts are read once and never shuffled: each task counts and packs
-    what it reads and emits nearly full containers (at most ``slack`` tokens free). Underfull ones, a bounded number a
-    task, are packed again ``fan_in`` tasks at a time until one task is left.
+    what it reads and emits nearly full containers (at most ``slack`` tokens free). The items of all others, sizes and
+    offsets without texts, are dealt out evenly over tasks of about ``most`` items, so that every task
+    has the mix of sizes of the whole and complementary ones meet; a hot size is spread like any other. Rounds go on
+    until one task holds what is left, or until a round fills up less than one in a hundred of its items: then the mix
+    itself admits no fuller containers. (``fan_in`` and ``keep`` have no effect.)
 
     Cases: NULL and empty texts come out in no container; a text of blanks does; rows with the same id and text are
     packed each; a NULL id stays NULL; a stretch of more than ``capacity`` tokens without a blank is cut by characters;
@@ -167,7 +165,7 @@ def pack_documents(
                 for no, (a, b, n) in enumerate(sized_pieces(counter, whole, capacity)):
                     sizes.append(n)
                     groups.append([{"doc_id": doc, "piece_no": no, "start": a, "end": b, "n_tokens": n}])
-        yield _pack(sizes, groups, capacity, slack, 0, False, TaskContext.get().partitionId(), keep)
+        yield _pack(sizes, groups, capacity, slack, 0, False, TaskContext.get().partitionId())
 
     def again(level: int, last: bool):
         def op(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -175,18 +173,16 @@ def pack_documents(
             for batch in batches:
                 sizes += batch.column(0).to_pylist()
                 groups += batch.column(1).to_pylist()
-            yield _pack(sizes, groups, capacity, slack, level, last, TaskContext.get().partitionId(), keep)
+            yield _pack(sizes, groups, capacity, slack, level, last, TaskContext.get().partitionId())
 
         return op
 
-    tasks = rows.rdd.getNumPartitions()
     packed = cut_lineage(rows.mapInArrow(first, SPARK_ROWS))
-    finished, level = packed.where("done"), 0
-    while True:
+    finished, level, before = packed.where("done"), 0, None
+    while left := packed.where("NOT done").count():
         level += 1
-        tasks = max(1, math.ceil(tasks / fan_in))
-        packed = cut_lineage(packed.where("NOT done").select("used", "items").repartition(tasks).mapInArrow(again(level, tasks == 1), SPARK_ROWS))
+        tasks = math.ceil(left / most)
+        last = tasks == 1 or (before is not None and left > 0.99 * before)
+        packed, before = cut_lineage(packed.where("NOT done").select("used", "items").repartition(tasks).mapInArrow(again(level, last), SPARK_ROWS)), left
         finished = finished.unionByName(packed.where("done"))
-        if tasks == 1:
-            break
     return finished.select("container_id", F.inline("items"))

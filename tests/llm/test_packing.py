@@ -58,3 +58,20 @@ def test_containers(spark):
     assert sorted(str(r.doc_id) for r in got if r.piece_no == 0) == sorted(str(i) for i, _, _ in whole)
     assert len(used) <= 1.1 * sum(used.values()) / 128 + 2
     assert pack_documents(df.where("false"), "id", "t", 128, TOKENIZER_FILE).count() == 0
+
+
+@needs_vocabulary
+def test_underfull_containers_of_one_task_are_filled_from_another(spark):
+    """One partition of texts over half a container and one of texts that fill them: all of them meet."""
+    counter = TokenCounter(TOKENIZER_FILE)
+    texts = {n: "x" + " x" * (n - 1) for n in (70, 56)}
+    assert all(counter.count(t) == n for n, t in texts.items())
+    rows = [(i, texts[70 if i < 600 else 56]) for i in range(1200)]
+    df = spark.createDataFrame(spark.sparkContext.parallelize(rows, 2), "id long, t string")
+    for most in (100_000, 150):
+        got = pack_documents(df, "id", "t", 128, TOKENIZER_FILE, most=most).collect()
+        assert sorted(r.doc_id for r in got) == list(range(1200))
+        used: dict = {}
+        for r in got:
+            used[r.container_id] = used.get(r.container_id, 0) + r.n_tokens
+        assert max(used.values()) <= 128 and len(used) <= 600 + (0 if most > 1200 else 60)
