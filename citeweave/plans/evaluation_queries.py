@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import product
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,6 +22,7 @@ from citeweave.plans import sql_text as S
 from citeweave.plans.text_queries import query_views
 from citeweave.runtime import table
 
+BOOST_MODES = ("pattern_only", "pattern_plus_family", "pattern_plus_family_plus_overlap")
 BRANCHES = ("dense_multi_view", "dense_source_aware", "sparse_bm25", "sparse_citation", "sparse_text", "sparse_title")
 
 
@@ -347,12 +350,21 @@ def penalty_grid(spark: SparkSession, d: str) -> DataFrame:
 
 
 def citation_boost_grid(spark: SparkSession, d: str) -> DataFrame:
-    """Mean recall by strength of the boosts."""
-    grid = G.configs(spark, b_pattern=[0.0, 0.5], b_family=[0.0, 0.3], b_overlap=[0.0, 0.2]).withColumns({"w_citation": F.lit(2.0), "w_title": F.lit(2.0), "w_text": F.lit(1.0)})
+    """Mean recall of no boost (config 0) and of the 108 configs of mode and strengths.
+
+    A mode leaves out the boosts it does not name; configs that come to the same boosts are computed once.
+    """
+    same: dict[tuple[float, float, float], int] = {(0.0, 0.0, 0.0): 0}
+    configs = [(0, 0)]
+    for i, (mode, pattern, family, overlap) in enumerate(product(BOOST_MODES, (0.05, 0.1, 0.15, 0.2), (0.05, 0.1, 0.15), (0.05, 0.1, 0.15)), 1):
+        boosts = (pattern, family if mode != "pattern_only" else 0.0, overlap if mode == "pattern_plus_family_plus_overlap" else 0.0)
+        configs.append((i, same.setdefault(boosts, len(same))))
+    grid = spark.createDataFrame([(i, *boosts) for boosts, i in same.items()], "config_id long, b_pattern double, b_family double, b_overlap double").withColumns({"w_citation": F.lit(2.0), "w_title": F.lit(2.0), "w_text": F.lit(1.0)})
     views = query_views(spark, d).select("query_id", "numbers", T.citation_tokens("query").alias("q_tokens")).withColumn("q_families", F.filter("q_tokens", lambda t: t.isin(*L.FAMILIES_LAST)))
     parts = G.components(_raw_fields(spark, d, whole=True)).join(views, "query_id")
     rows = G.citation_boost(G.weigh(parts, grid), F.col("numbers"), F.col("q_families"), F.col("q_tokens"))
-    return G.grid_recall(C.gold(spark, d), G.ranked(rows, 200), grid, (100, 200))
+    results = G.grid_recall(C.gold(spark, d), G.ranked(rows, 200), grid, (100, 200)).withColumnRenamed("config_id", "same")
+    return F.broadcast(spark.createDataFrame(configs, "config_id long, same long")).join(results, "same").drop("same")
 
 
 def fp_profile(spark: SparkSession, d: str) -> DataFrame:

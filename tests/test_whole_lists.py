@@ -26,7 +26,8 @@ def test_hits_beyond_rank_200_count(spark, monkeypatch):
     monkeypatch.setattr(EQ.C, "hits", lambda s, d: spark.createDataFrame(rows, HITS))
     monkeypatch.setattr(EQ.C, "gold", lambda s, d: gold)
     monkeypatch.setattr(EQ, "query_views", lambda s, d: views)
-    assert max(r.recall_at_100 for r in EQ.citation_boost_grid(spark, "").collect()) == 1.0
+    grid = {r.config_id: r.recall_at_100 for r in EQ.citation_boost_grid(spark, "").collect()}
+    assert sorted(grid) == list(range(109)) and grid[0] == 0.0 and grid[108] == 1.0
     seen = {}
     monkeypatch.setattr(EQ.C, "doc_lookup", lambda c: spark.createDataFrame([], "norm string, source string, text string"))
     monkeypatch.setattr(EQ.C, "corpus", lambda s, d: None)
