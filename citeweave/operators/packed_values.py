@@ -15,12 +15,14 @@ from citeweave.runtime import cut_lineage
 SEPARATORS = ";；,|•\t\n\r"
 #: Opening mark -> closing mark.
 QUOTES = {'"': '"', "'": "'", "„": "“", "“": "”", "«": "»", "‹": "›"}
+CLOSING = frozenset(QUOTES.values())
 MARKS = SEPARATORS + "/[]\\﻿" + "".join(dict.fromkeys("".join(QUOTES) + "".join(QUOTES.values())))
 #: Unicode white space without the separators; "s" in a skeleton.
 SPACES = " \u000b\u000c\u0085   -     　"
 
 _CLASS = "".join("\\" + c if c in '\\[]^-"' else c for c in MARKS)
-WORD = f"[^{_CLASS}{SPACES}]+(?:[{SPACES}]+[^{_CLASS}{SPACES}]+)*"
+#: From one ordinary character to the last before a mark; without a repeated group, which Java's engine would recurse into.
+WORD = f"[^{_CLASS}{SPACES}](?:[^{_CLASS}]*[^{_CLASS}{SPACES}])?"
 SPACE = f"[{SPACES}]+"
 TOKEN = f"{WORD}|{SPACE}|[{_CLASS}]"
 
@@ -51,20 +53,29 @@ def resolve(skel: str) -> list[list[int]]:
     current: list[int] = []
 
     def close(value: list[int]) -> None:
-        while value and skel[value[0]] in "s﻿\t\n\r":
-            value = value[1:]
-        while value and skel[value[-1]] in "s﻿\t\n\r":
-            value = value[:-1]
-        if value:
-            values.append(value)
+        a, b = 0, len(value)
+        while a < b and skel[value[a]] in "s﻿\t\n\r":
+            a += 1
+        while b > a and skel[value[b - 1]] in "s﻿\t\n\r":
+            b -= 1
+        if a < b:
+            values.append(value[a:b])
 
     def separates(i: int) -> bool:
         return skel[i] in SEPARATORS or skel[i] == "/" and i > 0 and skel[i - 1] == "s" and i + 1 < len(skel) and skel[i + 1] == "s"
 
+    # Where a mark of each kind could close a value last; no quote that opens behind it is looked through in vain.
+    latest: dict[str, int] = {}
+    ends = True
+    for i in range(end - 1, at - 1, -1):
+        if ends and skel[i] in CLOSING:
+            latest.setdefault(skel[i], i)
+        ends = separates(i) or ends and skel[i] in "s﻿"
+
     i = at
     while i < end:
         mark = skel[i]
-        if mark in QUOTES and all(skel[k] in "s﻿" for k in current):
+        if mark in QUOTES and latest.get(QUOTES[mark], -1) > i and all(skel[k] in "s﻿" for k in current):
             shut, inner, j = QUOTES[mark], [], i + 1
             done = -1
             while j < end:
@@ -124,10 +135,10 @@ def split_packed(df: DataFrame, field: str, keys: list[str], value: str = "value
     seen = marked.groupBy("_h").agg(F.any_value("_f").alias("_one"))
     rules = cut_lineage(seen.select("_h", _resolve_all(skeleton(F.col("_one"))).alias("_r")))
     ruled = join_unique(marked, rules, "_h")
-    tokens = F.regexp_extract_all("_f", F.lit(TOKEN), 0)
-    ruled = ruled.withColumn("_t", tokens).select(
-        *[f"_k{i}" for i in range(len(keys))],
-        F.expr("transform(_r, v -> array_join(transform(v, i -> element_at(_t, i + 1)), ''))").alias("_v"),
-    )
-    out = plain.unionByName(ruled).select(*[F.col(f"_k{i}").alias(k) for i, k in enumerate(keys)], F.posexplode("_v").alias(pos, value))
+    # The tokens are bound once, as the argument of an outer lambda: as a column they would be inlined into the inner
+    # one and the whole field matched again for every token.
+    tokens = F.array(F.regexp_extract_all("_f", F.lit(TOKEN), 0))
+    values = F.transform(tokens, lambda t: F.transform("_r", lambda v: F.array_join(F.transform(v, lambda i: F.element_at(t, i + 1)), "")))[0]
+    ruled = ruled.select(*[f"_k{i}" for i in range(len(keys))], values.alias("_v"))
+    out = plain.unionByName(ruled).select(*[F.col(f"_k{i}").alias(k) for i, k in enumerate(keys)], F.posexplode_outer("_v").alias(pos, value))
     return out.where(F.col(value) != "")

@@ -47,3 +47,15 @@ def test_rules_use_each_token_once_and_in_order(skel):
     places = [i for value in resolve(skel) for i in value]
     assert places == sorted(set(places))
     assert all(value for value in resolve(skel))
+
+
+def test_tokens_are_cut_once_a_field(spark):
+    df = spark.createDataFrame([(1, "a; b")], "id int, f string")
+    plan = split_packed(df, "f", ["id"])._jdf.queryExecution().optimizedPlan().toString()
+    # One branch for the rows of hot skeletons, one for the others; in each, outside the inner lambda and not in a filter.
+    assert plan.count("regexp_extract_all") == plan.count("AS _v#") - 1 == plan.count("transform(array(regexp_extract_all") == 2
+
+
+def test_long_fields_with_many_words_and_unclosed_quotes(spark):
+    words, opened = "wort " * 100_000 + "; x", "„a;" * 5000
+    assert split(spark, [words, opened]) == [["wort " * 99_999 + "wort", "x"], ["„a"] * 5000]
