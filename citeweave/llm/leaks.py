@@ -3,17 +3,19 @@
 from __future__ import annotations
 
 import re
-import zlib
+import uuid
+from bisect import bisect_left
 from collections import defaultdict
 from collections.abc import Iterator, Sequence
-from itertools import repeat
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from citeweave.runtime import cut_lineage
+from citeweave.runtime import checkpoint_dir, cut_lineage
 
 _WORDS = re.compile(r"\w+|\x00")
 #: Spellings of one letter that are told apart in no language here.
@@ -46,40 +48,96 @@ class _Known(dict):
         return code
 
 
+def grams(codes: np.ndarray, n: int) -> np.ndarray:
+    """A key for every ``n`` codes in a row; keys may collide, which costs a look and decides nothing."""
+    key = np.zeros(max(0, len(codes) - n + 1), dtype=np.int64)
+    with np.errstate(over="ignore"):
+        for j in range(n):
+            key = key * np.int64(6364136223846793005) + codes[j : j + len(key)]
+    return key
+
+
+class _Numbers(dict):
+    """Words of documents as numbers: 0 for a word that no item has or resembles, -1 for the border of two documents."""
+
+    def __init__(self, items: Items) -> None:
+        super().__init__({"\x00": -1})
+        self.items = items
+        self.words, self.codes, self.related, self.head, self.tail = [""], [0], [[]], [False], [False]
+
+    def __missing__(self, w: str) -> int:
+        items = self.items
+        related, head, tail = items.related(w), w in items.heads, w in items.tails
+        number = 0
+        if related or head or tail:
+            number = len(self.words)
+            for column, value in zip((self.words, self.codes, self.related, self.head, self.tail), (w, items.vocabulary.get(w, 0), related, head, tail)):
+                column.append(value)
+        self[w] = number
+        return number
+
+
 def deletions(w: str) -> list[str]:
     return [w, *(w[:i] + w[i + 1 :] for i in range(len(w)))]
 
 
 class Items:
-    """Evaluation items as word codes, their n-grams, and each item's words with their near spellings."""
+    """Evaluation items as word codes, their n-grams, and each item's words with their near spellings.
 
-    def __init__(self, items: list[tuple[int, str]], n: int, owners: int | None) -> None:
-        self.ids = [i for i, _ in items]
-        self.words = [_WORDS.findall(fold(t)) for _, t in items]
+    Items of the same words are one class, held under the place of the first; ``ids`` has all ids of a class.
+    """
+
+    def __init__(self, items: list[tuple[int, str]], n: int) -> None:
+        classes: dict[tuple[str, ...], list[int]] = defaultdict(list)
+        for i, t in items:
+            classes[tuple(_WORDS.findall(fold(t.replace("\x00", " "))))].append(i)
+        self.n = n
+        self.ids = list(classes.values())
+        self.words = [list(ws) for ws in classes]
         self.vocabulary = {w: k for k, w in enumerate(sorted({w for ws in self.words for w in ws}), 1)}
-        self.base = len(self.vocabulary) + 1
-        grams: dict[int, list[tuple[int, int]]] = defaultdict(list)
-        for k, ws in enumerate(self.words):
-            codes = [self.vocabulary[w] for w in ws]
-            for at in range(len(codes) - n + 1):
-                key = 0
-                for c in codes[at : at + n]:
-                    key = key * self.base + c
-                grams[key].append((k, at))
-        if owners is not None:
-            grams = {k: p for k, p in grams.items() if len({i for i, _ in p}) <= owners}
-        keys = np.array(sorted(grams), dtype=np.int64)
-        self.keys = keys
-        places = [grams[k] for k in keys.tolist()]
-        self.offsets = np.concatenate([[0], np.cumsum([len(p) for p in places])]).astype(np.int64)
-        self.item_of = np.array([i for p in places for i, _ in p], dtype=np.int64)
-        self.at_of = np.array([a for p in places for _, a in p], dtype=np.int64)
+        coded = [np.array([self.vocabulary[w] for w in ws], dtype=np.int64) for ws in self.words]
         self.lengths = np.array([len(w) for w in self.words], dtype=np.int64)
+        self.starts = np.concatenate([[0], np.cumsum(self.lengths)]).astype(np.int64)
+        flat = np.concatenate(coded) if coded else np.zeros(0, dtype=np.int64)
+        keys, held, places = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
+        for k, codes in enumerate(coded):
+            if len(codes) >= n:
+                key = grams(codes, n)
+                keys.append(key)
+                held.append(np.full(len(key), k, dtype=np.int64))
+                places.append(np.arange(len(key), dtype=np.int64))
+        key, item, place = np.concatenate(keys), np.concatenate(held), np.concatenate(places)
+        order = np.lexsort((place, item, key))
+        self.keys, first = np.unique(key[order], return_index=True)
+        self.offsets = np.append(first, len(key)).astype(np.int64)
+        self.item_of, self.at_of = item[order], place[order]
+        # Each item's distinct words as sorted keys (item, code), and for every word of every item the place of its key.
+        self.base = len(self.vocabulary) + 1
+        pairs = np.repeat(np.arange(len(coded), dtype=np.int64), self.lengths) * self.base + flat
+        self.members, self.member_of = np.unique(pairs, return_inverse=True)
+        self.member_starts = np.searchsorted(self.members, np.arange(len(coded) + 1, dtype=np.int64) * self.base)
         self._near: dict[int, tuple[dict, dict, dict]] = {}
-        self.shorter = {v for w in self.vocabulary if len(w) > 3 and not w.isdigit() for v in deletions(w)}
+        self.shorter: dict[str, list[int]] = defaultdict(list)
+        for w, c in self.vocabulary.items():
+            if len(w) > 3 and not w.isdigit():
+                for v in set(deletions(w)):
+                    self.shorter[v].append(c)
+        self.joined: dict[str, set[int]] = defaultdict(set)
+        for ws in self.words:
+            for x, y in zip(ws, ws[1:]):
+                self.joined[x + y] |= {self.vocabulary[x], self.vocabulary[y]}
+        self.heads = {w[:i] for w in self.vocabulary for i in range(1, len(w))}
+        self.tails = {w[i:] for w in self.vocabulary for i in range(1, len(w))}
         self._alike: dict[str, list[str]] = {}
         self._known: dict[int, _Known] = {}
 
+    def related(self, w: str) -> list[int]:
+        """Every code that the word may stand for in some item: itself, near spellings, two words run together."""
+        codes = {self.vocabulary[w]} if w in self.vocabulary else set()
+        for v in self.alike(w):
+            codes.update(self.shorter[v])
+        return sorted(codes | self.joined.get(w, set()))
+
     def alike(self, w: str) -> list[str]:
         """The word and its deletions, as far as any item's words have them."""
         if w not in self._alike:
@@ -239,59 +297,139 @@ def promising(seen: list[int], span: int) -> bool:
 
 CLAIMS = pa.schema([("doc_id", pa.int64()), ("copy", pa.int64()), ("item_id", pa.int64()), ("places", pa.list_(pa.int32()))])
 SPARK_CLAIMS = "doc_id bigint, copy bigint, item_id bigint, places array<int>"
-
-
-def _search(items: Items, n: int, drift: int, reach: int, least: int, span: int, share: float, many_at_once: int = 128):
-    """Documents -> the stretches of items they hold, with the places of the matching words.
-
-    A passage is looked at where ``least`` seeds of one item lie on nearly one diagonal, however common they are.
+PAIRS = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64())])
+
+
+def _spread(starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For stretches of an array: the number of the stretch, and the place, of each of their elements."""
+    owner = np.repeat(np.arange(len(sizes)), sizes)
+    return owner, np.arange(len(owner)) - np.repeat(np.cumsum(sizes) - sizes, sizes) + starts[owner]
+
+
+def _hopeful(items: Items, numbers: _Numbers, ids: np.ndarray, pieces: np.ndarray, item: np.ndarray, first: np.ndarray, final: np.ndarray, span: int) -> np.ndarray:
+    """Which passages may hold a stretch of their item: ``span`` item words in a row of which those that the passage lacks, in
+    any spelling, stand three words apart, as edits do. Sets of words only, so what is left out cannot hold one."""
+    sizes = np.array([len(r) for r in numbers.related], dtype=np.int64)
+    offsets = np.cumsum(sizes) - sizes
+    codes = np.array([c for r in numbers.related for c in r], dtype=np.int64)
+    owner, at = _spread(first, final - first)
+    word = np.maximum(ids[at], 0)
+    inner, place = _spread(offsets[word], sizes[word])
+    owners, found = [owner[inner]], [codes[place]]
+    split = np.flatnonzero((pieces[at] > 0) & (at + 1 < final[owner]))
+    owners.append(owner[split])
+    found.append(pieces[at[split]])
+    owner, code = np.concatenate(owners), np.concatenate(found)
+    key = item[owner] * items.base + code
+    member = np.minimum(np.searchsorted(items.members, key), len(items.members) - 1)
+    hit = items.members[member] == key
+    many = items.member_starts[item + 1] - items.member_starts[item]
+    begin = np.cumsum(many) - many
+    present = np.zeros(int(many.sum()), dtype=bool)
+    owner, member = owner[hit], member[hit]
+    present[begin[owner] + member - items.member_starts[item[owner]]] = True
+    lengths = items.lengths[item]
+    owner, at = _spread(items.starts[item], lengths)
+    absent = np.flatnonzero(~present[begin[owner] + items.member_of[at] - items.member_starts[item[owner]]])
+    # Where the stretch that ends at a word begins at the latest: behind the earlier of two lacking words that stand too near.
+    reset = np.repeat(np.cumsum(lengths) - lengths, lengths)
+    near = (np.diff(absent) < 3) & (owner[absent[1:]] == owner[absent[:-1]])
+    since = reset.copy()
+    since[absent[1:][near]] = absent[:-1][near] + 1
+    long = np.arange(len(owner)) - np.maximum.accumulate(since) + 1 >= span
+    return np.logical_or.reduceat(long, np.cumsum(lengths) - lengths)
+
+
+def winners(claimed: list[tuple[int, list[int]]]) -> list[int]:
+    """Of one document's claims (item, places of the matching words): the items that no other beats. An item is beaten by
+    one that matches more words within its stretch. Only claims that overlap are compared, and equal places once."""
+    holders: dict[tuple[int, ...], list[int]] = defaultdict(list)
+    for item, places in claimed:
+        holders[tuple(places)].append(item)
+    stretches = sorted(holders)
+    most = max((p[-1] - p[0] for p in stretches), default=0)
+    kept: list[int] = []
+    for at, mine in enumerate(stretches):
+        low, high = mine[0], mine[-1]
+        near = range(bisect_left(stretches, (low - most,)), bisect_left(stretches, (high + 1,)))
+        if not any(bisect_left(stretches[b], high + 1) - bisect_left(stretches[b], low) > len(mine) for b in near if b != at and stretches[b][-1] >= low):
+            kept += holders[mine]
+    return kept
+
+
+def _search(shared, drift: int, reach: int, least: int, span: int, share: float, final_pairs: bool, many_at_once: int = 128, most_words: int = 4_000_000):
+    """Documents -> the items they hold (or, if not ``final_pairs``, the claims with the places of the matching words).
+
+    A passage is looked at where ``least`` seeds of one item lie on nearly one diagonal, however common they are, and aligned
+    if its words can make up a stretch.
     """
-    get = items.vocabulary.get
+
+    def passages(items: Items, numbers: _Numbers, ids: np.ndarray, borders: np.ndarray):
+        """(document, item, first word of the document, first and last word of the passage) of every passage worth aligning."""
+        n, none = items.n, [np.zeros(0, dtype=np.int64)] * 5
+        codes = np.array(numbers.codes, dtype=np.int64)[np.maximum(ids, 0)]
+        if len(codes) < n or not len(items.keys):
+            return none
+        whole = np.ones(len(codes) - n + 1, dtype=bool)
+        for j in range(n):
+            whole &= codes[j : j + len(whole)] > 0
+        at = np.flatnonzero(whole)
+        key = grams(codes, n)[at]
+        gram = np.minimum(np.searchsorted(items.keys, key), len(items.keys) - 1)
+        known = items.keys[gram] == key
+        at, gram = at[known], gram[known]
+        if not len(at):
+            return none
+        owner, place = _spread(items.offsets[gram], items.offsets[gram + 1] - items.offsets[gram])
+        h_at, h_gram, h_doc = at[owner], gram[owner], np.searchsorted(borders, at)[owner]
+        h_item, h_place = items.item_of[place], items.at_of[place]
+        order = np.lexsort((h_at, h_item, h_doc))
+        h_at, h_gram, h_doc, h_item, h_place = (x[order] for x in (h_at, h_gram, h_doc, h_item, h_place))
+        new = np.ones(len(h_at), dtype=bool)
+        new[1:] = (h_doc[1:] != h_doc[:-1]) | (h_item[1:] != h_item[:-1]) | (np.abs(np.diff(h_at - h_place)) > drift) | (np.diff(h_at) > reach)
+        starts = np.flatnonzero(new)
+        ends = np.append(starts[1:], len(h_at))
+        group = np.cumsum(new) - 1
+        by_gram = np.lexsort((h_gram, group))
+        g, c = h_gram[by_gram], group[by_gram]
+        fresh = np.ones(len(g), dtype=bool)
+        fresh[1:] = (g[1:] != g[:-1]) | (c[1:] != c[:-1])
+        enough = np.bincount(c[fresh], minlength=len(starts)) >= least
+        a, b = starts[enough], ends[enough] - 1
+        doc, item = h_doc[a], h_item[a]
+        low = np.where(doc > 0, borders[np.maximum(doc - 1, 0)] + 1, 0) if len(borders) else np.zeros(len(doc), dtype=np.int64)
+        high = np.append(borders, len(ids))[doc]
+        first = np.maximum(low, h_at[a] - h_place[a] - drift)
+        final = np.minimum(high, h_at[b] + items.lengths[item] - h_place[b] + drift)
+        pieces = np.zeros(len(ids), dtype=np.int64)
+        head, tail = np.array(numbers.head)[np.maximum(ids, 0)], np.array(numbers.tail)[np.maximum(ids, 0)]
+        both = np.flatnonzero(head[:-1] & tail[1:])
+        pairs, back = np.unique(ids[both] * len(numbers.words) + ids[both + 1], return_inverse=True)
+        words = numbers.words
+        pieces[both] = np.array([items.vocabulary.get(words[p // len(words)] + words[p % len(words)], 0) for p in pairs.tolist()], dtype=np.int64)[back]
+        keep, at = [], 0
+        ends = np.cumsum(final - first + items.lengths[item])
+        while at < len(doc):
+            to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most_words, "right")))
+            keep.append(at + np.flatnonzero(_hopeful(items, numbers, ids, pieces, item[at:to], first[at:to], final[at:to], span)))
+            at = to
+        kept = np.concatenate(keep) if keep else np.zeros(0, dtype=np.int64)
+        return doc[kept], item[kept], low[kept], first[kept], final[kept]
 
     def op(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        items: Items = shared.value
+        numbers = _Numbers(items)
         for batch in batches:
-            texts = batch.column(1).to_pylist()
+            if len(numbers) > 1_000_000:
+                numbers = _Numbers(items)
+            texts = batch.column(2).to_pylist()
             words = _WORDS.findall("\x00".join(fold(t.replace("\x00", " ")) for t in texts))
-            codes = np.fromiter(map(get, words, repeat(0)), dtype=np.int64, count=len(words))
-            borders = np.array([i for i in np.flatnonzero(codes == 0).tolist() if words[i] == "\x00"], dtype=np.int64)
-            if len(codes) < n:
-                continue
-            key = np.zeros(len(codes) - n + 1, dtype=np.int64)
-            whole = np.ones(len(key), dtype=bool)
-            for j in range(n):
-                part = codes[j : j + len(key)]
-                key = key * items.base + part
-                whole &= part > 0
-            at = np.flatnonzero(whole)
-            gram = np.searchsorted(items.keys, key[at])
-            known = (gram < len(items.keys)) & (items.keys[np.minimum(gram, len(items.keys) - 1)] == key[at])
-            at, gram = at[known], gram[known]
-            if not len(at):
-                continue
-            doc = np.searchsorted(borders, at)
-            many = items.offsets[gram + 1] - items.offsets[gram]
-            place = np.repeat(items.offsets[gram], many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
-            h_at, h_gram, h_doc = np.repeat(at, many), np.repeat(gram, many), np.repeat(doc, many)
-            h_item, h_place = items.item_of[place], items.at_of[place]
-            order = np.lexsort((h_at, h_item, h_doc))
-            h_at, h_gram, h_doc, h_item, h_place = (x[order] for x in (h_at, h_gram, h_doc, h_item, h_place))
-            diagonal = h_at - h_place
-            new = np.ones(len(h_at), dtype=bool)
-            new[1:] = (h_doc[1:] != h_doc[:-1]) | (h_item[1:] != h_item[:-1]) | (np.abs(np.diff(diagonal)) > drift) | (np.diff(h_at) > reach)
-            starts = np.flatnonzero(new)
-            ends = np.append(starts[1:], len(h_at))
+            ids = np.fromiter(map(numbers.__getitem__, words), dtype=np.int64, count=len(words))
             wanted: dict[tuple[int, str], list[tuple[int, int]]] = defaultdict(list)
-            for a, b in zip(starts[ends - starts >= least].tolist(), ends[ends - starts >= least].tolist()):
-                if len(np.unique(h_gram[a:b])) < least:
-                    continue
-                d, k = int(h_doc[a]), int(h_item[a])
-                low = int(borders[d - 1]) + 1 if d else 0
-                high = int(borders[d]) if d < len(borders) else len(words)
-                first = max(low, int(h_at[a]) - int(h_place[a]) - drift)
-                final = min(high, int(h_at[b - 1]) + int(items.lengths[k]) - int(h_place[b - 1]) + drift)
+            for d, k, low, first, final in zip(*(x.tolist() for x in passages(items, numbers, ids, np.flatnonzero(ids == -1)))):
                 # Documents that hold the same passage share one alignment.
                 wanted[k, " ".join(words[first:final])].append((d, first - low))
-            ids, todo = batch.column(0).to_pylist(), []
+            todo = []
             for k, text in wanted:
                 exact = items.near(k)[0]
                 spoken = text.split(" ")
@@ -302,53 +440,88 @@ def _search(items: Items, n: int, drift: int, reach: int, least: int, span: int,
                     if promising(seen, span):
                         todo.append((([exact[w] for w in items.words[k]], seen), places, (k, text)))
             todo.sort(key=lambda x: len(x[0][1]))
-            rows = []
+            claimed: dict[int, list[tuple[int, list[int]]]] = defaultdict(list)
             for a in range(0, len(todo), many_at_once):
                 part = todo[a : a + many_at_once]
                 for claim, (_, places, key) in zip(claims([x[0] for x in part], span, share), part):
                     if claim:
                         for d, first in wanted[key]:
-                            rows.append((ids[d], zlib.crc32(texts[d].encode()), items.ids[key[0]], [first + places[j] for j in claim[1]]))
-            yield pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*rows) if rows else [[]] * 4, CLAIMS)], schema=CLAIMS)
+                            claimed[d].append((key[0], [first + places[j] for j in claim[1]]))
+            ids_of, copies = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            if final_pairs:
+                rows = [(ids_of[d], i) for d, c in claimed.items() for k in set(winners(c)) for i in items.ids[k]]
+                schema = PAIRS
+            else:
+                rows = [(ids_of[d], copies[d], i, p) for d, c in claimed.items() for k, p in c for i in items.ids[k]]
+                schema = CLAIMS
+            yield pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*rows) if rows else [[]] * len(schema), schema)], schema=schema)
+
+    return op
+
+
+def _doc_grams(n: int):
+    """Documents -> (doc_id, copy, gram), each gram of words once a document; as words, which need no common codes."""
+
+    def op(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[tuple] = []
+            for i, c, t in zip(*(batch.column(x).to_pylist() for x in range(3))):
+                ws = _WORDS.findall(fold(t.replace("\x00", " ")))
+                out += [(i, c, " ".join(g)) for g in {tuple(ws[k : k + n]) for k in range(len(ws) - n + 1)}]
+            cols = list(zip(*out)) if out else [[], [], []]
+            yield pa.record_batch([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.string()))], names=["doc_id", "copy", "gram"])
 
     return op
 
 
+def _beats(rows: pd.DataFrame) -> pd.DataFrame:
+    claimed = [(i, list(p)) for i, p in zip(rows["item_id"], rows["places"])]
+    kept = sorted(set(winners(claimed)))
+    return pd.DataFrame({"doc_id": rows["doc_id"].iloc[0], "item_id": kept}).astype("int64")
+
+
 def leaked_items(
     docs: DataFrame, doc_id: str, text: str, evals: DataFrame, item_id: str, item_text: str,
-    n: int = 3, owners: int | None = None, span: int = 15, share: float = 0.3, least: int = 2, rare: float | None = None, drift: int = 12, reach: int = 40, block: int = 5000,
+    n: int = 3, span: int = 15, share: float = 0.3, least: int = 2, drift: int = 12, reach: int = 40, block: int = 50_000,
 ) -> DataFrame:
     """Every (``doc_id``, ``item_id``) where the document holds at least ``span`` consecutive words of the item, edits allowed.
 
-    1. Items are a stated query set; they are worked off in blocks of ``block``, each small enough for every task.
+    1. Items are a stated query set. Up to ``block`` of them (some 30 MB of grams and words) are broadcast, and the documents
+       are read once. Of more, the grams are joined with those of the documents first, and each block of items is searched for
+       only in the documents that hold ``least`` grams of it: the documents are read twice, however many items there are.
     2. Each task looks the ``n``-grams of its documents up among those of the items. Where ``least`` of them lie near one
-       diagonal, the passage around them is aligned with the item, word by word; how many documents or items hold an
-       n-gram does not matter. (``owners``, if given, leaves out those of more items of a block. ``rare`` has no effect.)
+       diagonal, the passage around them is aligned with the item, word by word, unless its words cannot make up a stretch;
+       how many documents or items hold an n-gram does not matter.
     3. It is a leak if a stretch of ``span`` words of the item is there in order with single words left out, put in or
        replaced, and scores at least ``share`` of them. Each pair is decided by its own alignment.
     4. Where items claim the same words of a document, an item gives way to one that matches more of the words in its
        stretch. So an item that only shares its phrasing with the one that leaked is not reported.
 
-    Cases: NULL and empty texts hold nothing; items of fewer than ``n`` words or below ``span`` words are never found;
-    repeated rows give one result; very long texts are searched whole; empty tables give an empty result; other columns
-    are ignored, whatever their names.
+    Cases: NULL and empty texts hold nothing; items of fewer than ``n`` words or below ``span`` words are never found; items
+    of the same words are found together; repeated rows give one result; very long texts are searched whole; empty tables
+    give an empty result; other columns are ignored, whatever their names.
     """
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).where((F.length("text") > 0) & F.col("doc_id").isNotNull())
+    spark = docs.sparkSession
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(F.col(text)).alias("copy"), F.col(text).alias("text")).where((F.length("text") > 0) & F.col("doc_id").isNotNull())
     wanted = evals.select(F.col(item_id).cast("long").alias("item_id"), F.col(item_text).alias("text")).where("item_id IS NOT NULL AND length(text) > 0")
     wanted = wanted.dropDuplicates(["item_id"])
     blocks = max(1, -(-wanted.count() // block))
+
+    def held(part: DataFrame) -> Broadcast:
+        return spark.sparkContext.broadcast(Items([(r.item_id, r.text) for r in part.orderBy("item_id").collect()], n))
+
+    if blocks == 1:
+        return rows.mapInArrow(_search(held(wanted), drift, reach, least, span, share, True), "doc_id bigint, item_id bigint").distinct()
+    # By their text, so that items of the same words meet in one block.
+    wanted = cut_lineage(wanted.withColumn("block", F.pmod(F.xxhash64("text"), F.lit(blocks)).cast("int")))
+    seeds = wanted.select("block", F.xxhash64("text").alias("copy"), "text").mapInArrow(_doc_grams(n), "doc_id bigint, copy bigint, gram string").select(F.col("doc_id").cast("int").alias("block"), "gram").distinct()
+    met = rows.mapInArrow(_doc_grams(n), "doc_id bigint, copy bigint, gram string").join(seeds, "gram").groupBy("doc_id", "copy", "block").agg(F.countDistinct("gram").alias("n")).where(F.col("n") >= least)
+    folder = f"{checkpoint_dir(spark)}/leaks-{uuid.uuid4().hex}"
+    rows.join(met.select("doc_id", "copy", "block"), ["doc_id", "copy"]).select("doc_id", "copy", "text", "block").write.partitionBy("block").parquet(folder)
+    near = spark.read.schema("doc_id bigint, copy bigint, text string, block int").parquet(folder)
     out = None
     for b in range(blocks):
-        part = wanted.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b).orderBy("item_id").collect()
-        items = Items([(r.item_id, r.text) for r in part], n, owners)
-        if not len(items.keys):
-            continue
-        found = rows.mapInArrow(_search(items, n, drift, reach, least, span, share), SPARK_CLAIMS)
+        found = near.where(F.col("block") == b).select("doc_id", "copy", "text").mapInArrow(_search(held(wanted.where(F.col("block") == b)), drift, reach, least, span, share, False), SPARK_CLAIMS)
         out = found if out is None else out.unionByName(found)
-    if out is None:
-        return docs.sparkSession.createDataFrame([], "doc_id bigint, item_id bigint")
-    out = cut_lineage(out)
-    mine, other = out.alias("a"), out.alias("b")
-    inside = F.size(F.filter("b.places", lambda p: (p >= F.element_at("a.places", 1)) & (p <= F.element_at("a.places", -1))))
-    better = (F.col("a.doc_id") == F.col("b.doc_id")) & (F.col("a.copy") == F.col("b.copy")) & (F.col("a.item_id") != F.col("b.item_id")) & (inside > F.size("a.places"))
-    return mine.join(other, better, "left_anti").select("doc_id", "item_id").distinct()
+    # All claims of one text meet; their number is bounded by the words of the text and the items that share them.
+    return out.groupBy("doc_id", "copy").applyInPandas(_beats, "doc_id bigint, item_id bigint").distinct()
