@@ -63,6 +63,13 @@ def hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("query_id", F.col("method").alias("list_id"), "source", "citation").agg(F.max("score").alias("score"))
 
 
+def fields_of(rows: DataFrame) -> DataFrame:
+    """One row per field of a corpus row, with its text as body; decisions have no title."""
+    fields = F.array(*[F.struct(F.lit(f).alias("field"), F.col(c).alias("body")) for f, c in (("citation", "norm"), ("title", "title"), ("text", "text"))])
+    rows = rows.select("source", "row_id", F.col("norm").alias("citation"), F.explode(fields).alias("f")).select("source", "f.field", "row_id", "citation", "f.body")
+    return rows.where("NOT (source = 'court_considerations' AND field = 'title')")
+
+
 def citation_lookup(rows: DataFrame) -> DataFrame:
     """The shortest, then least spelling of every normalised citation."""
     spelt = rows.where("norm <> ''").groupBy("norm").agg(F.min(F.struct(F.length("citation"), F.col("citation"))).alias("m"), F.count(F.lit(1)).alias("n_rows"))

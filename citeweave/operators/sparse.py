@@ -1,35 +1,60 @@
-"""BM25 over inverted-index tables: build once, search all queries at once."""
+"""BM25: a stated query set is scored where the documents are read, or a stored index is searched."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from citeweave.functions import text as T
+from citeweave.runtime import spread
 
 K1, B = 1.5, 0.75
 
+#: Rows (query, term) and (group, term) that are handed to every task: some 100 MB. More queries take the stored way.
+MOST_TERMS = 2_000_000
+
+
+def counted(tokens: Column) -> Column:
+    """(term, tf) of a document's tokens, counted within the row: equal words stand together once they are sorted."""
+
+    def runs(words: Column) -> Column:
+        starts = F.filter(F.sequence(F.lit(0), F.size(words) - 1), lambda i: (i == 0) | (F.get(words, i) != F.get(words, i - 1)))
+        return F.transform(F.array(starts), lambda at: F.transform(at, lambda b, j: F.struct(F.get(words, b).alias("term"), (F.coalesce(F.get(at, j + 1), F.size(words)) - b).cast("long").alias("tf"))))[0]
+
+    # Words and starts are bound once, as arguments of an outer lambda; as columns they would be inlined into the inner ones.
+    counts = F.transform(F.array(F.array_sort(tokens)), runs)[0]
+    return F.when(F.size(tokens) > 0, counts).otherwise(F.array().cast("array<struct<term:string,tf:bigint>>"))
+
 
 def postings(docs: DataFrame, text: Column, keys: list[str]) -> DataFrame:
     """B1: (keys, term, tf, dl) of every document; dl counts all its tokens. ``keys`` end with the document's id.
 
-    All words of a document stand in one task, so counting is combined on the map side and only postings are shuffled.
+    All words of a document stand in its row, so nothing is shuffled.
     """
-    # The length is taken before the words are exploded: beside the explosion it would be computed once a word.
-    rows = docs.select(*keys, T.tokens(text).alias("_t")).withColumn("dl", F.size("_t"))
-    rows = rows.select(*keys, "dl", F.explode("_t").alias("term"))
-    return rows.groupBy(*keys, "term", "dl").agg(F.count(F.lit(1)).alias("tf"))
+    rows = docs.select(*keys, T.tokens(text).alias("_t")).select(*keys, F.size("_t").alias("dl"), F.explode(counted(F.col("_t"))).alias("c"))
+    return rows.select(*keys, "c.term", "dl", "c.tf")
 
 
-def document_counts(docs: DataFrame, text: Column, group: list[str]) -> DataFrame:
-    """n and mean length over all documents of a group, those without a token included."""
-    return docs.groupBy(*group).agg(F.count(F.lit(1)).alias("n"), F.avg(F.size(T.tokens(text))).alias("avgdl"))
+def term_stats(docs: DataFrame, text: Column, group: list[str], vocabulary: DataFrame | None = None) -> DataFrame:
+    """B2: n, avgdl, df and idf of every term of a group (or of ``vocabulary``, distinct terms), in one pass.
 
-
-def term_stats(index: DataFrame, counts: DataFrame, group: list[str]) -> DataFrame:
-    """B2: df and idf of every term of a group."""
-    df = index.groupBy(*group, "term").agg(F.count(F.lit(1)).alias("df"))
-    return df.join(F.broadcast(counts), group).withColumn("idf", F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)))
+    Beside its distinct terms every document counts once for the empty term, whose row holds n and the mean length over
+    all documents, those without a token included. Counts are combined on the map side.
+    """
+    rows = docs.select(*group, T.tokens(text).alias("_t")).select(*group, F.size("_t").alias("_dl"), F.explode(F.concat(F.array(F.lit("")), F.array_distinct("_t"))).alias("term"))
+    if vocabulary is not None:
+        wanted = vocabulary.select("term").unionByName(vocabulary.sparkSession.range(1).select(F.lit("").alias("term")))
+        rows = rows.join(wanted, "term", "left_semi")
+    counts = rows.groupBy(*group, "term").agg(F.count(F.lit(1)).alias("df"), F.avg("_dl").alias("avgdl"))
+    whole = counts.where("term = ''").select(*group, F.col("df").alias("n"), "avgdl")
+    out = counts.where("term <> ''").drop("avgdl").join(whole, group)
+    return out.withColumn("idf", F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)))
 
 
 def query_terms(queries: DataFrame, query_id: str, text: Column) -> DataFrame:
@@ -38,7 +63,7 @@ def query_terms(queries: DataFrame, query_id: str, text: Column) -> DataFrame:
 
 
 def bm25_scores(index: DataFrame, stats: DataFrame, terms: DataFrame, query_id: str, keys: list[str], group: list[str]) -> DataFrame:
-    """B3 before the cut: score of every (query, document) that share a term, rounded to six places.
+    """B3 over postings, before the cut: score of every (query, document) that share a term, rounded to six places.
 
     The query side meets the term statistics first (a few rows a term), then the postings; partial sums are combined
     on the map side before the one shuffle by (query, document).
@@ -56,7 +81,157 @@ def top_k(scores: DataFrame, partition: list[str], order: list[Column], k: int,
 
 
 def bm25(docs: DataFrame, doc_text: Column, keys: list[str], group: list[str], queries: DataFrame, query_id: str, query_text: Column) -> DataFrame:
-    """Build and search in one plan."""
-    index = postings(docs, doc_text, keys)
-    stats = term_stats(index, document_counts(docs, doc_text, group), group)
-    return bm25_scores(index, stats, query_terms(queries, query_id, query_text), query_id, keys, group)
+    """All scores from postings, without a cut; for query sets beyond MOST_TERMS and for small corpora."""
+    terms = query_terms(queries, query_id, query_text)
+    return bm25_scores(postings(docs, doc_text, keys), term_stats(docs, doc_text, group, terms.select("term").distinct()), terms, query_id, keys, group)
+
+
+class _Wanted:
+    """A query set with its statistics, as arrays: what every task needs to score its documents."""
+
+    def __init__(self, terms: list, stats: list, boosts: dict) -> None:
+        self.queries = sorted({r[0] for r in terms}, key=str)
+        self.boost = np.array([boosts.get(q, 1.0) for q in self.queries], dtype=np.float64)
+        place = {q: i for i, q in enumerate(self.queries)}
+        self.terms = sorted({r[1] for r in terms})
+        code = {t: i for i, t in enumerate(self.terms)}
+        held = sorted((code[t], place[q], n) for q, t, n in terms)
+        self.query = np.array([h[1] for h in held], dtype=np.int64)
+        self.times = np.array([h[2] for h in held], dtype=np.float64)
+        self.offsets = np.searchsorted(np.array([h[0] for h in held], dtype=np.int64), np.arange(len(self.terms) + 1))
+        self.groups = {g: i for i, g in enumerate(sorted({r[0] for r in stats}))}
+        self.avgdl = np.ones(max(1, len(self.groups)))
+        self.idf = np.zeros((max(1, len(self.groups)), max(1, len(self.terms))))
+        for g, t, idf, avgdl in stats:
+            self.avgdl[self.groups[g]] = avgdl
+            self.idf[self.groups[g], code[t]] = idf
+
+
+def _six(x: np.ndarray) -> np.ndarray:
+    """Rounded to six places, halves up, as SQL does."""
+    return np.floor(x * 1e6 + 0.5) / 1e6
+
+
+def _score(shared, n_group: int, n_keys: int, k: int, per_group: bool, arrow: pa.Schema, cells: int = 4_000_000):
+    """Documents -> the ``k`` best of this task for every query (and group): one table is kept over all its batches."""
+
+    def op(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        wanted: _Wanted = shared.value
+        vocabulary, n_queries, n_groups = pa.array(wanted.terms, pa.string()), len(wanted.queries), max(1, len(wanted.groups))
+        least = np.full(n_queries * (n_groups if per_group else 1), -np.inf)
+        kept: tuple[np.ndarray, np.ndarray, np.ndarray, pa.Table] | None = None
+
+        def merge(slot: np.ndarray, query: np.ndarray, score: np.ndarray, rows: pa.Table) -> None:
+            nonlocal kept
+            if kept is not None:
+                slot, query, score = (np.concatenate(p) for p in zip(kept[:3], (slot, query, score)))
+                rows = pa.concat_tables([kept[3], rows])
+            ties = [np.array(c.to_pylist()) for c in reversed(rows.columns[:n_keys])]
+            order = np.lexsort((*ties, -score, slot))
+            slots = slot[order]
+            first = np.searchsorted(slots, slots)
+            order = order[np.arange(len(order)) - first < k]
+            kept = slot[order], query[order], score[order], rows.take(pa.array(order))
+            full = np.bincount(kept[0], minlength=len(least)) >= k
+            lowest = np.full(len(least), np.inf)
+            np.minimum.at(lowest, kept[0], kept[2])
+            least[full] = lowest[full]
+
+        for batch in batches:
+            if not n_queries or not wanted.groups:
+                continue
+            step = max(1, cells // n_queries)
+            for a in range(0, batch.num_rows, step):
+                part = batch.slice(a, step)
+                n = part.num_rows
+                lists = part.column(part.num_columns - 1)
+                dl = np.asarray(pc.list_value_length(lists)).astype(np.int64)
+                code = np.asarray(pc.fill_null(pc.index_in(lists.flatten(), value_set=vocabulary), -1)).astype(np.int64)
+                row = np.repeat(np.arange(n), dl)
+                known = code >= 0
+                pair, tf = np.unique(row[known] * len(wanted.terms) + code[known], return_counts=True)
+                row, code = pair // len(wanted.terms), pair % len(wanted.terms)
+                named = list(zip(*(part.column(i).to_pylist() for i in range(n_group))))
+                group = np.array([wanted.groups.get(g, -1) for g in named], dtype=np.int64)
+                length = dl[row] / (wanted.avgdl[group[row]] + 1e-9)
+                worth = wanted.idf[group[row], code] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length) + 1e-9)
+                many = wanted.offsets[code + 1] - wanted.offsets[code]
+                owner = np.repeat(np.arange(len(code)), many)
+                place = np.arange(len(owner)) - np.repeat(np.cumsum(many) - many, many) + wanted.offsets[code][owner]
+                score = np.bincount(wanted.query[place] * n + row[owner], weights=worth[owner] * wanted.times[place], minlength=n_queries * n)
+                query, doc = np.divmod(np.flatnonzero(score), n)
+                score = _six(_six(score[score != 0]) * wanted.boost[query])
+                slot = query * n_groups + group[doc] if per_group else query
+                near = score >= least[slot]
+                if near.any():
+                    doc = doc[near]
+                    rows = pa.Table.from_batches([part]).select(range(part.num_columns - 1)).take(pa.array(doc))
+                    merge(slot[near], query[near], score[near], rows)
+        if kept is not None:
+            names = pa.array([wanted.queries[q] for q in kept[1].tolist()])
+            columns = [names, *kept[3].columns, pa.array(kept[2])]
+            for out in pa.table([c.cast(f.type) for c, f in zip(columns, arrow)], schema=arrow).to_batches():
+                yield out
+
+    return op
+
+
+def search(
+    docs: DataFrame, text: Column, group: list[str], keys: list[str], queries: DataFrame, query_id: str, query_text: Column, k: int,
+    per_group: bool = True, boost: str | None = None, carry: tuple[str, ...] = (),
+) -> DataFrame:
+    """The ``k`` best documents of every query (and of every ``group``, unless not ``per_group``), ranked: query_id,
+    ``group``, ``keys``, ``carry``, score (six places, times the query's ``boost``), rank. Ties: ``group``, then ``keys``.
+
+    1. One pass counts n, avgdl and df of the query terms, combined on the map side.
+    2. Query terms and statistics (at most MOST_TERMS rows, checked) go to every task, which scores each document where it
+       is read and keeps its k best for every query; only those are shuffled. No (document, term) and no (query, document)
+       pairs are.
+
+    More terms than that are joined with the postings instead. Cases: a document or query without a token is never found; a
+    NULL text is empty; an empty table gives an empty result.
+    """
+    spark, docs = docs.sparkSession, spread(docs)
+    terms = query_terms(queries, query_id, query_text)
+    rows = terms.limit(MOST_TERMS + 1).collect()
+    keys = [c for c in keys if c not in group]
+    partition, order = ([query_id, *group] if per_group else [query_id]), [F.desc("score"), *[F.asc(c) for c in ([] if per_group else group) + keys]]
+    weight = queries.select(query_id, (F.col(boost) if boost else F.lit(1.0)).cast("double").alias("_boost"))
+    if len(rows) > MOST_TERMS:
+        scores = bm25(docs, text, [*group, *keys, *carry], group, queries, query_id, query_text)
+        scores = scores.join(weight, query_id).withColumn("score", F.round(F.col("score") * F.col("_boost"), 6)).drop("_boost")
+        return top_k(scores, partition, order, k)
+    vocabulary = spark.createDataFrame([(t,) for t in sorted({r["term"] for r in rows})], "term string")
+    stats = term_stats(docs, text, group, vocabulary).select(F.struct(*group).alias("g"), "term", "idf", "avgdl").collect()
+    boosts = {r[0]: r[1] for r in weight.collect()} if boost else {}
+    shared = spark.sparkContext.broadcast(_Wanted([(r[query_id], r["term"], r["qtf"]) for r in rows], [(tuple(r.g), r.term, r.idf, r.avgdl) for r in stats], boosts))
+    read = docs.select(*group, *keys, *carry, T.tokens(text).alias("_t"))
+    kinds = {f.name: f.dataType for f in read.schema.fields} | {query_id: queries.schema[query_id].dataType}
+    columns = [query_id, *group, *keys, *carry]
+    arrow = pa.schema([*[pa.field(c, to_arrow_type(kinds[c])) for c in columns], pa.field("score", pa.float64())])
+    schema = ", ".join(f"`{c}` {kinds[c].simpleString()}" for c in columns) + ", score double"
+    best = read.mapInArrow(_score(shared, len(group), len(group) + len(keys), k, per_group, arrow), schema)
+    return top_k(best, partition, order, k)
+
+
+# ---- stored index ---------------------------------------------------------------------------------------------------
+
+
+def save_index(docs: DataFrame, text: Column, group: list[str], keys: list[str], folder: str) -> None:
+    """Postings and statistics as parquet, for any number of searches; postings are sorted by term, so that a search
+    reads the row groups of its terms only. Frequent terms are spread over files by the range partitioning's sample and
+    the document's id."""
+    keys = [*group, *[c for c in keys if c not in group]]
+    postings(docs, text, keys).repartitionByRange("term", *keys).sortWithinPartitions("term", *keys).write.mode("overwrite").parquet(f"{folder}/postings")
+    term_stats(docs, text, group).write.mode("overwrite").parquet(f"{folder}/terms")
+
+
+def search_index(spark: SparkSession, folder: str, group: list[str], keys: list[str], queries: DataFrame, query_id: str, query_text: Column, k: int) -> DataFrame:
+    """The ``k`` best of every query and group from a stored index: query_id, ``group``, ``keys``, score, rank."""
+    keys = [c for c in keys if c not in group]
+    terms = query_terms(queries, query_id, query_text)
+    index, stats = spark.read.parquet(f"{folder}/postings"), spark.read.parquet(f"{folder}/terms")
+    few = [r.term for r in terms.select("term").distinct().limit(1001).collect()]
+    if len(few) <= 1000:
+        index, stats = index.where(F.col("term").isin(*few)), stats.where(F.col("term").isin(*few))
+    return top_k(bm25_scores(index, stats, terms, query_id, [*group, *keys], group), [query_id, *group], [F.desc("score"), *[F.asc(c) for c in keys]], k)

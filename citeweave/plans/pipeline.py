@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from citeweave.functions import lexicons as L
 from citeweave.functions import text as T
 from citeweave.functions import understanding as U
+from citeweave.operators import corpus as C
 from citeweave.operators import fusion as FU
 from citeweave.operators import rerank as RR
 from citeweave.operators import rules as R
@@ -59,21 +60,13 @@ def read_text(text: str, chars: int | None) -> Column:
     return F.col(text) if chars is None else F.left(text, F.lit(chars))
 
 
-def field_index(corpus: DataFrame, text_chars: int | None = None) -> tuple[DataFrame, DataFrame]:
-    """One index over (source, field) with its statistics."""
-    rows = corpus.where("norm <> ''").withColumn("text", read_text("text", text_chars))
-    fields = F.array(*[F.struct(F.lit(f).alias("field"), F.col(c).alias("body")) for f, c in (("citation", "norm"), ("title", "title"), ("text", "text"))])
-    docs = rows.select("source", "row_id", F.explode(fields).alias("f")).select("source", "f.field", "row_id", "f.body").where("NOT (source = 'court_considerations' AND field = 'title')")
-    index = SP.postings(docs, F.col("body"), ["source", "field", "row_id"])
-    return index, SP.term_stats(index, SP.document_counts(docs, F.col("body"), ["source", "field"]), ["source", "field"])
-
-
-def field_search(index: DataFrame, stats: DataFrame, queries: DataFrame, text: str, weights: dict[str, float], names: DataFrame, k: int) -> DataFrame:
-    """Best weighted field of every row: query_id, source, citation, score."""
-    scores = SP.bm25_scores(index, stats, SP.query_terms(queries, "query_id", F.col(text)), "query_id", ["source", "field", "row_id"], ["source", "field"])
-    cut = SP.top_k(scores, ["query_id", "source", "field"], [F.desc("score"), F.asc("row_id")], k)
-    weight = F.coalesce(*[F.when(F.col("field") == f, F.lit(w)) for f, w in weights.items()], F.lit(0.0))
-    best = cut.withColumn("score", F.col("score") * weight).where("score > 0").join(names, ["source", "row_id"])
+def field_search(fields: DataFrame, queries: DataFrame, text: str, weights: dict[str, float], k: int) -> DataFrame:
+    """Best weighted field of every row: query_id, source, citation, score. ``fields``: source, field, row_id, citation, body."""
+    worth = {f: w for f, w in weights.items() if w > 0}
+    rows = fields.where(F.col("field").isin(*worth))
+    cut = SP.search(rows, F.col("body"), ["source", "field"], ["row_id"], queries, "query_id", F.col(text), k, carry=("citation",))
+    weight = F.coalesce(*[F.when(F.col("field") == f, F.lit(w)) for f, w in worth.items()])
+    best = cut.withColumn("score", F.col("score") * weight).where("score > 0")
     return best.groupBy("query_id", "source", "citation").agg(F.max("score").alias("score"))
 
 
@@ -94,14 +87,13 @@ def laws_first(questions: DataFrame, corpus: DataFrame, dense: DataFrame | None
     """Pipeline A: query_id, rank, citation. ``dense``: hits (query_id, source, citation, score) of an encoder, if any."""
     # Understood once: every later stage would otherwise plan and evaluate the whole of it again.
     queries = cut_lineage(understand(questions, config))
-    names = corpus.where("norm <> ''").select("source", "row_id", F.col("norm").alias("citation"))
     rules = R.search(questions, corpus, config.rule_top_k, 0).select("query_id", F.col("citation"), "rank")
-    index, stats = field_index(corpus, config.text_chars)
-    sparse = quota_cut(field_search(index, stats, queries, "laws_text", config.field_weights, names, 120), queries, "sparse")
+    fields = C.fields_of(corpus.where("norm <> ''").withColumn("text", read_text("text", config.text_chars)))
+    sparse = quota_cut(field_search(fields, queries, "laws_text", config.field_weights, 120), queries, "sparse")
     sparse = with_families(sparse, config)
     if config.issue_view:
         wanted = queries.where("NOT explicit AND size(families) > 0 AND issue <> ''")
-        issue = field_search(index, stats, wanted, "issue", {"citation": 0.0, "title": 2.0, "text": 3.0}, names, config.issue_top_k).where("source = 'laws_de'")
+        issue = field_search(fields.where("source = 'laws_de'"), wanted, "issue", {"citation": 0.0, "title": 2.0, "text": 3.0}, config.issue_top_k)
         issue = issue.join(queries.select("query_id", "families"), "query_id").withColumn("score", F.col("score") * config.issue_boost)
         sparse = sparse.unionByName(issue).groupBy("query_id", "source", "citation", "families").agg(F.max("score").alias("score"))
     lists = [sparse.withColumn("list_id", F.lit("sparse"))]
@@ -148,9 +140,8 @@ def bm25_baseline(questions: DataFrame, corpus: DataFrame, top_n: int = 8) -> Da
     """Pipeline C: one index over both sources, fifty best rows, first occurrences of their citations."""
     docs = corpus.where("norm <> ''").withColumn("all", F.lit("all"))
     body = T.joined(F.col("norm"), F.col("title"), F.col("text"))
-    scores = SP.bm25(docs, body, ["all", "source", "row_id"], ["all"], questions, "query_id", F.col("query"))
-    best = SP.top_k(scores, ["query_id"], [F.desc("score"), F.asc("source"), F.asc("row_id")], 50)
-    ranked = best.join(docs.select("source", "row_id", F.col("norm").alias("citation")), ["source", "row_id"])
+    docs = docs.select("all", "source", "row_id", F.col("norm").alias("citation"), body.alias("body"))
+    ranked = SP.search(docs, F.col("body"), ["all"], ["source", "row_id"], questions, "query_id", F.col("query"), 50, carry=("citation",))
     first = ranked.groupBy("query_id", "citation").agg(F.min("rank").alias("_first"))
     order = Window.partitionBy("query_id").orderBy("_first")
     return first.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top_n).select("query_id", "rank", "citation")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,7 +17,7 @@ from citeweave.operators import rules as R
 from citeweave.operators import sparse as SP
 from citeweave.plans import sql_text as S
 from citeweave.plans.text_queries import query_views
-from citeweave.runtime import table
+from citeweave.runtime import checkpoint_dir, table
 
 LIST_CUT = 200
 
@@ -26,16 +28,15 @@ LIST_CUT = 200
 def bm25_term_stats(spark: SparkSession, d: str) -> DataFrame:
     rows = C.corpus(spark, d).where("norm <> ''")
     text = T.joined(F.col("norm"), F.col("title"), F.col("text"))
-    index = SP.postings(rows, text, ["source", "row_id"])
-    return SP.term_stats(index, SP.document_counts(rows, text, ["source"]), ["source"]).select("source", "term", "df", F.round("idf", 6).alias("idf"))
+    return SP.term_stats(rows, text, ["source"]).select("source", "term", "df", F.round("idf", 6).alias("idf"))
 
 
 def bm25_topk(spark: SparkSession, d: str) -> DataFrame:
     """Documents for every evaluation item (a fixed query set), the ten best each."""
     docs = table(spark, d, "documents").select(F.lit("all").alias("source"), "doc_id", F.coalesce("text", F.lit("")).alias("text"))
     items = table(spark, d, "eval_items")
-    scores = SP.bm25(docs, F.col("text"), ["source", "doc_id"], ["source"], items, "item_id", F.col("text"))
-    return SP.top_k(scores, ["item_id"], [F.desc("score"), F.asc("doc_id")], 10).select("item_id", "rank", "doc_id", "score")
+    best = SP.search(docs, F.col("text"), ["source"], ["doc_id"], items, "item_id", F.col("text"), 10)
+    return best.select("item_id", "rank", "doc_id", "score")
 
 
 def searched(spark: SparkSession, d: str) -> DataFrame:
@@ -43,16 +44,21 @@ def searched(spark: SparkSession, d: str) -> DataFrame:
     return query_views(spark, d).where("row_id % 100 = 0")
 
 
-def _source_scores(spark: SparkSession, d: str, queries: DataFrame, text) -> DataFrame:
-    rows = C.corpus(spark, d).where("norm <> ''")
-    body = T.joined(F.col("norm"), F.col("title"), F.col("text"))
-    return SP.bm25(rows, body, ["source", "row_id"], ["source"], queries, "query_id", text)
+def _bodies(spark: SparkSession, d: str) -> DataFrame:
+    """The corpus with all that BM25 reads of a row in one text."""
+    return C.corpus(spark, d).where("norm <> ''").withColumn("body", T.joined(F.col("norm"), F.col("title"), F.col("text")))
 
 
 def bm25_per_source(spark: SparkSession, d: str) -> DataFrame:
     """The best rows of each source."""
-    scores = _source_scores(spark, d, searched(spark, d), F.col("query"))
-    return SP.top_k(scores, ["query_id", "source"], [F.desc("score"), F.asc("row_id")], 20)
+    return SP.search(_bodies(spark, d), F.col("body"), ["source"], ["row_id"], searched(spark, d), "query_id", F.col("query"), 20)
+
+
+def bm25_stored(spark: SparkSession, d: str) -> DataFrame:
+    """The same search from an index that is written once and read by term."""
+    folder = f"{checkpoint_dir(spark)}/bm25-{uuid.uuid4().hex}"
+    SP.save_index(_bodies(spark, d), F.col("body"), ["source"], ["row_id"], folder)
+    return SP.search_index(spark, folder, ["source"], ["row_id"], searched(spark, d), "query_id", F.col("query"), 20)
 
 
 def bm25_multi_view(spark: SparkSession, d: str) -> DataFrame:
@@ -61,28 +67,18 @@ def bm25_multi_view(spark: SparkSession, d: str) -> DataFrame:
     german = U.german_view(U.german_keywords("clean", L.GENERAL_EN_DE), L.GENERAL_SNIPPETS, "numbers")
     views = q.select("query_id", F.explode(F.array(*[F.struct(F.lit(n).alias("view"), F.lit(b).alias("boost"), t.alias("text")) for n, b, t in (("original", 1.0, F.col("query")), ("keywords", 0.9, F.array_join("words", " ")), ("german", 0.9, german))])).alias("v"))
     views = views.select(F.concat_ws("|", "query_id", "v.view").alias("query_id"), "v.text", "v.boost")
-    boosts = views.select("query_id", "boost")
-    scores = _source_scores(spark, d, views, F.col("text")).join(F.broadcast(boosts), "query_id")
-    best = scores.groupBy(F.split("query_id", "\\|")[0].alias("query_id"), "source", "row_id").agg(F.round(F.max(F.col("score") * F.col("boost")), 6).alias("score"))
+    scores = SP.search(_bodies(spark, d), F.col("body"), ["source"], ["row_id"], views, "query_id", F.col("text"), 40, per_group=False, boost="boost")
+    best = scores.groupBy(F.split("query_id", "\\|")[0].alias("query_id"), "source", "row_id").agg(F.max("score").alias("score"))
     return SP.top_k(best, ["query_id"], [F.desc("score"), F.asc("source"), F.asc("row_id")], 40)
 
 
 FIELD_WEIGHTS = {"citation": 2.0, "title": 2.0, "text": 1.0}
 
 
-def field_scores(spark: SparkSession, d: str, queries: DataFrame, text) -> DataFrame:
-    """Scores by field: query_id, source, field, row_id, score. One index over (source, field)."""
-    rows = C.corpus(spark, d).where("norm <> ''")
-    fields = F.array(*[F.struct(F.lit(f).alias("field"), F.col(c).alias("body")) for f, c in (("citation", "norm"), ("title", "title"), ("text", "text"))])
-    rows = rows.select("source", "row_id", F.explode(fields).alias("f")).select("source", "f.field", "row_id", "f.body")
-    rows = rows.where("NOT (source = 'court_considerations' AND field = 'title')")
-    return SP.bm25(rows, F.col("body"), ["source", "field", "row_id"], ["source", "field"], queries, "query_id", text)
-
-
 def bm25_field_aware(spark: SparkSession, d: str) -> DataFrame:
     """The best of every field before weighting; the winning field of a row stays with it."""
-    scores = field_scores(spark, d, searched(spark, d), F.col("query"))
-    cut = SP.top_k(scores, ["query_id", "source", "field"], [F.desc("score"), F.asc("row_id")], 40)
+    rows = C.fields_of(C.corpus(spark, d).where("norm <> ''"))
+    cut = SP.search(rows, F.col("body"), ["source", "field"], ["row_id"], searched(spark, d), "query_id", F.col("query"), 40).drop("rank")
     weight = F.coalesce(*[F.when(F.col("field") == f, F.lit(w)) for f, w in FIELD_WEIGHTS.items()])
     weighted = cut.withColumn("score", F.round(F.col("score") * weight, 6))
     best = weighted.groupBy("query_id", "source", "row_id").agg(F.max("score").alias("score"), F.max_by("field", F.struct("score", "field")).alias("field"))
@@ -217,7 +213,7 @@ def federated_decisions(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        bm25_term_stats, bm25_topk, bm25_per_source, bm25_multi_view, bm25_field_aware, dense_topk, dense_source_blocks, dense_multi_view, hashed_vectors, rule_hits, rrf, rrf_source_weighted,
+        bm25_term_stats, bm25_topk, bm25_per_source, bm25_stored, bm25_multi_view, bm25_field_aware, dense_topk, dense_source_blocks, dense_multi_view, hashed_vectors, rule_hits, rrf, rrf_source_weighted,
         weighted_fusion, branch_metadata, branch_bonus, branch_rescue, dedup_keep_max, merge_lists, dedup_ranked, court_fuse_weighted, family_boost, family_constrain, family_filter, federated_decisions,
     )
 }
@@ -288,6 +284,8 @@ SQL = {
     "bm25_per_source": f"""WITH {S.CORPUS}, {_SEARCHED}, docs AS ({_BODY}), {_terms_sql('terms', 'searched', 'query_id', 'query')}, {_bm25_sql('docs', 'source, row_id', 'source', 'terms', 'query_id')}
         {_top('scores', 'query_id, source', 'score DESC, row_id', 20)}""",
     "bm25_multi_view": _MULTI,
+    "bm25_stored": f"""WITH {S.CORPUS}, {_SEARCHED}, docs AS ({_BODY}), {_terms_sql('terms', 'searched', 'query_id', 'query')}, {_bm25_sql('docs', 'source, row_id', 'source', 'terms', 'query_id')}
+        {_top('scores', 'query_id, source', 'score DESC, row_id', 20)}""",
     "bm25_field_aware": f"""WITH {S.CORPUS}, {_SEARCHED}, {_terms_sql('terms', 'searched', 'query_id', 'query')}, {_FIELDS},
         cut AS ({_top('scores', 'query_id, source, field', 'score DESC, row_id', 40)}),
         weighted AS (SELECT * REPLACE (round(score * CASE field WHEN 'text' THEN 1.0 ELSE 2.0 END, 6) AS score) FROM cut),

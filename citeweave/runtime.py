@@ -33,6 +33,13 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over all cores where its files give fewer tasks than there are cores, as one small file does; a table of many
+    files stays as it is. For steps that compute much per row."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def sound_unions(spark: SparkSession) -> None:
     """Keep the planner from taking a union of equally partitioned inputs for partitioned.
 

@@ -49,6 +49,39 @@ def test_bm25_against_brute_force(spark):
             assert got.get((i, j), 0.0) == pytest.approx(s, abs=1e-6)
 
 
+@pytest.mark.parametrize("most", [SP.MOST_TERMS, 0])
+def test_search_keeps_the_best_of_every_query_and_group(spark, monkeypatch, tmp_path, most):
+    monkeypatch.setattr(SP, "MOST_TERMS", most)
+    rng = random.Random(4)
+    docs = [(g, i, " ".join(rng.choices("abcdefgh", k=rng.randint(0, 9)))) for g in "xy" for i in range(40)] + [("x", 90, None), ("x", 91, "")]
+    d = spark.createDataFrame(docs, "g string, id int, t string").repartition(7)
+    queries = [(i, " ".join(rng.choices("abcdefghz", k=4)), 0.9) for i in range(5)] + [(8, "", 1.0), (9, "zz", 1.0), (10, None, 1.0)]
+    q = spark.createDataFrame(queries, "q int, t string, w double")
+    expected = []
+    for i, t, _ in queries:
+        for g in "xy":
+            mine = [(n, x or "") for h, n, x in docs if h == g]
+            scored = sorted((-round(s, 6), n) for (n, _), s in zip(mine, bm25([x for _, x in mine], t or "")) if s > 0)
+            expected += [(i, g, n, -s, r) for r, (s, n) in enumerate(scored[:6], 1)]
+    expected.sort()
+    got = SP.search(d, F.col("t"), ["g"], ["id"], q, "q", F.col("t"), 6)
+    assert sorted((r.q, r.g, r.id, r.score, r["rank"]) for r in got.collect()) == expected
+    boosted = SP.search(d, F.col("t"), ["g"], ["id"], q, "q", F.col("t"), 6, per_group=False, boost="w", carry=("t",))
+    best = {i: sorted((-math.floor(s * 0.9 * 1e6 + 0.5) / 1e6, g, n) for j, g, n, s, _ in expected if j == i)[:6] for i in range(5)}
+    assert sorted((r.q, -r.score, r.g, r.id) for r in boosted.collect()) == sorted((i, *x) for i, rows in best.items() for x in rows)
+    assert SP.search(d.where("false"), F.col("t"), ["g"], ["id"], q, "q", F.col("t"), 6).count() == 0
+    SP.save_index(d, F.col("t"), ["g"], ["id"], str(tmp_path / "index"))
+    stored = SP.search_index(spark, str(tmp_path / "index"), ["g"], ["id"], q, "q", F.col("t"), 6)
+    assert sorted((r.q, r.g, r.id, r.score, r["rank"]) for r in stored.collect()) == expected
+
+
+def test_search_shuffles_no_terms_and_no_pairs(spark):
+    d = spark.createDataFrame([("a", 1, "x y"), ("a", 2, "y")], "g string, id int, t string")
+    q = spark.createDataFrame([(1, "x")], "q int, t string")
+    plan = SP.search(d, F.col("t"), ["g"], ["id"], q, "q", F.col("t"), 3)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and plan.index("MapInArrow") > plan.index("Exchange")
+
+
 def lists(spark, rows):
     return spark.createDataFrame(rows, "query_id string, list_id string, source string, citation string, rank int, score double")
 
