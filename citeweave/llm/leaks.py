@@ -15,7 +15,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from citeweave.runtime import checkpoint_dir, cut_lineage
+from citeweave.runtime import checkpoint_dir, cut_lineage, spread
 
 _WORDS = re.compile(r"\w+|\x00")
 #: Spellings of one letter that are told apart in no language here.
@@ -511,7 +511,7 @@ def leaked_items(
         return spark.sparkContext.broadcast(Items([(r.item_id, r.text) for r in part.orderBy("item_id").collect()], n))
 
     if blocks == 1:
-        return rows.mapInArrow(_search(held(wanted), drift, reach, least, span, share, True), "doc_id bigint, item_id bigint").distinct()
+        return spread(rows).mapInArrow(_search(held(wanted), drift, reach, least, span, share, True), "doc_id bigint, item_id bigint").distinct()
     # By their text, so that items of the same words meet in one block.
     wanted = cut_lineage(wanted.withColumn("block", F.pmod(F.xxhash64("text"), F.lit(blocks)).cast("int")))
     seeds = wanted.select("block", F.xxhash64("text").alias("copy"), "text").mapInArrow(_doc_grams(n), "doc_id bigint, copy bigint, gram string").select(F.col("doc_id").cast("int").alias("block"), "gram").distinct()
