@@ -12,7 +12,7 @@ from citeweave.llm.chunks import split_oversized
 from citeweave.llm.copies import court_key, group_copies, law_key
 from citeweave.llm.leaks import leaked_items
 from citeweave.llm.packing import pack_documents
-from citeweave.llm.pii import find_personal, redact
+from citeweave.llm.pii import find_personal, redact_personal
 from citeweave.llm.topn import top_n_per_group
 from citeweave.operators.packed_values import split_packed
 from citeweave.runtime import table
@@ -88,8 +88,7 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p8_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents with placeholders for the personal information they hold."""
-    docs = table(spark, sf_dir, "documents")
-    return redact(docs, "doc_id", "text", find_personal(docs, "doc_id", "text"))
+    return redact_personal(table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
 QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p2_records": p2_records, "p4_found": p4_found, "p5_found": p5_found, "p5_pieces": p5_pieces, "p6_containers": p6_containers, "p7_found": p7_found, "p8_found": p8_found, "p8_redacted": p8_redacted}
