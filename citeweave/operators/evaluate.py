@@ -122,9 +122,16 @@ def best_branch(rows: DataFrame, branch: str) -> DataFrame:
     return rows.withColumn("_n", F.row_number().over(order)).where("_n = 1").select("query_id", F.col(branch).alias("best_branch"))
 
 
+def nearest_rank_quantiles(rows: DataFrame, value: str, qs: list[float]) -> DataFrame:
+    """Q, threshold: the value at place ceil(q n) in order, for all levels in one aggregate; an empty table gives 1.0."""
+    levels = ", ".join(map(str, qs))
+    found = rows.agg(F.expr(f"percentile_disc(array({levels})) WITHIN GROUP (ORDER BY {value})").alias("t"))
+    return found.select(F.explode(F.arrays_zip(F.array(*[F.lit(q) for q in qs]).alias("q"), F.coalesce("t", F.array(*[F.lit(1.0) for _ in qs])).alias("threshold"))).alias("r")).select("r.*")
+
+
 def nearest_rank_quantile(rows: DataFrame, value: str, q: float) -> DataFrame:
-    """The value at place ceil(q n) in order; an empty table gives 1.0."""
-    return rows.agg(F.coalesce(F.expr(f"percentile_disc({q}) WITHIN GROUP (ORDER BY {value})"), F.lit(1.0)).alias("threshold")).withColumn("q", F.lit(q))
+    """B14 at one level."""
+    return nearest_rank_quantiles(rows, value, [q])
 
 
 def paragraph_keys(rows: DataFrame) -> DataFrame:

@@ -117,10 +117,12 @@ def family_match(families: str = "families") -> Column:
     return F.array_contains(F.col(families), F.nullif(T.family_first("citation"), F.lit("")))
 
 
-def family_boost(hits: DataFrame, boost: float) -> DataFrame:
-    """scores of matching families times the boost; ranked again. Needs ``families`` on every row."""
+def family_boost(hits: DataFrame, boost: float, suffix: str = "_family") -> DataFrame:
+    """scores of matching families times the boost (at least 1), their method marked, every list ranked again. Needs
+    ``families`` on every row; gives ``method`` and ``rank``."""
     matched = F.coalesce(family_match(), F.lit(False))
-    return hits.withColumn("score", F.when(matched, F.col("score") * max(1.0, boost)).otherwise(F.col("score"))).withColumn("boosted", matched)
+    boosted = hits.withColumns({"score": F.when(matched, F.col("score") * max(1.0, boost)).otherwise(F.col("score")), "method": F.when(matched, F.concat("list_id", F.lit(suffix))).otherwise(F.col("list_id"))})
+    return rank_whole(boosted)
 
 
 def family_constrain(hits: DataFrame, min_keep: int = 5) -> DataFrame:

@@ -178,7 +178,7 @@ def _candidates(spark: SparkSession, d: str, k: int = 50) -> DataFrame:
         F.max((F.col("list_id") == "rule_exact").cast("int")).alias("is_rule"), F.max((F.col("list_id") == "sparse_title").cast("int")).alias("is_issue"),
         F.max((F.col("list_id") == "sparse_text").cast("int")).alias("s"), F.max((F.col("list_id") == "dense_multi_view").cast("int")).alias("v"), F.min("source").alias("hit_source"),
     )
-    docs = C.doc_lookup(C.corpus(spark, d)).select(F.col("norm").alias("citation"), "source", "title", F.left("text", F.lit(500)).alias("text"))
+    docs = C.doc_lookup(C.corpus(spark, d)).select(F.col("norm").alias("citation"), "source", "title", "text")
     queries = C.questions(spark, d).select("query_id", "query", U.likely_families("query").alias("families"), (F.size(T.rule_patterns("query")) > 0).alias("explicit"))
     rows = fused.join(flags, ["query_id", "citation"]).join(docs, "citation", "left").join(queries, "query_id")
     rows = rows.withColumn("source", F.coalesce("source", "hit_source")).withColumn("body", T.joined(F.col("citation"), F.coalesce("title", F.lit("")), F.coalesce("text", F.lit(""))))
@@ -303,9 +303,9 @@ def preflight(spark: SparkSession, d: str) -> DataFrame:
 # ---- grids and mining -----------------------------------------------------------------------------------------------
 
 
-def _raw_fields(spark: SparkSession, d: str, whole: bool = False) -> DataFrame:
-    """Raw scores by field from the recorded hits of the field branches; ``whole`` takes the lists uncut."""
-    rows = (C.hits(spark, d) if whole else RQ.lists(spark, d)).where("list_id IN ('sparse_citation', 'sparse_title', 'sparse_text')")
+def _raw_fields(spark: SparkSession, d: str) -> DataFrame:
+    """Raw scores by field from the recorded hits of the field branches."""
+    rows = C.hits(spark, d).where("list_id IN ('sparse_citation', 'sparse_title', 'sparse_text')")
     return rows.select("query_id", "source", "citation", F.regexp_replace("list_id", "sparse_", "").alias("field"), "score")
 
 
@@ -332,12 +332,7 @@ def _title_shares(spark: SparkSession, d: str) -> DataFrame:
 
 def title_df_quantile(spark: SparkSession, d: str) -> DataFrame:
     """Shares above which titles are common, at four levels."""
-    shares = _title_shares(spark, d)
-    out = None
-    for q in (0.90, 0.95, 0.97, 0.99):
-        row = E.nearest_rank_quantile(shares, "df_share", q).select("q", F.round("threshold", 6).alias("threshold"))
-        out = row if out is None else out.unionByName(row)
-    return out
+    return E.nearest_rank_quantiles(_title_shares(spark, d), "df_share", [0.90, 0.95, 0.97, 0.99]).select("q", F.round("threshold", 6).alias("threshold"))
 
 
 def penalty_grid(spark: SparkSession, d: str) -> DataFrame:
@@ -361,7 +356,7 @@ def citation_boost_grid(spark: SparkSession, d: str) -> DataFrame:
         configs.append((i, same.setdefault(boosts, len(same))))
     grid = spark.createDataFrame([(i, *boosts) for boosts, i in same.items()], "config_id long, b_pattern double, b_family double, b_overlap double").withColumns({"w_citation": F.lit(2.0), "w_title": F.lit(2.0), "w_text": F.lit(1.0)})
     views = query_views(spark, d).select("query_id", "numbers", T.citation_tokens("query").alias("q_tokens")).withColumn("q_families", F.filter("q_tokens", lambda t: t.isin(*L.FAMILIES_LAST)))
-    parts = G.components(_raw_fields(spark, d, whole=True)).join(views, "query_id")
+    parts = G.components(_raw_fields(spark, d)).join(views, "query_id")
     rows = G.citation_boost(G.weigh(parts, grid), F.col("numbers"), F.col("q_families"), F.col("q_tokens"))
     results = G.grid_recall(C.gold(spark, d), G.ranked(rows, 200), grid, (100, 200)).withColumnRenamed("config_id", "same")
     return F.broadcast(spark.createDataFrame(configs, "config_id long, same long")).join(results, "same").drop("same")
@@ -370,7 +365,7 @@ def citation_boost_grid(spark: SparkSession, d: str) -> DataFrame:
 def fp_profile(spark: SparkSession, d: str) -> DataFrame:
     """For gold that ranks beyond 100 or nowhere, the twenty best rivals and what lifts them (a top-k report)."""
     grid = G.configs(spark, w_citation=[2.0], w_title=[2.0], w_text=[1.0])
-    weighed = G.weigh(G.components(_raw_fields(spark, d, whole=True)), grid)
+    weighed = G.weigh(G.components(_raw_fields(spark, d)), grid)
     ranked = G.ranked(weighed, 200).where("source = 'laws_de'")
     gold = C.gold(spark, d)
     lost = gold.join(ranked.select("query_id", "citation", F.col("rank").alias("gold_rank"), *[F.col(a).alias(f"g_{a}") for a in "ctx"]), ["query_id", "citation"], "left")
@@ -384,7 +379,7 @@ def fp_profile(spark: SparkSession, d: str) -> DataFrame:
 def hard_negatives(spark: SparkSession, d: str) -> DataFrame:
     """M1, M2: one positive and one hard negative law for every query with gold laws."""
     docs = C.doc_lookup(C.corpus(spark, d)).where("source = 'laws_de'").select(F.col("norm").alias("citation"), F.lower("text").alias("text"))
-    fused = FU.reciprocal_rank(RQ.whole_lists(spark, d), 20)
+    fused = FU.reciprocal_rank(RQ.lists(spark, d), 20)
     return M.hard_negatives(query_views(spark, d), C.gold(spark, d), fused.select("query_id", "citation", "rank"), docs)
 
 

@@ -68,7 +68,7 @@ _CANDIDATES = f"""WITH {S.CORPUS}, {DOCS}, {S.QUESTIONS}, {S.VIEWS}, {S.FAMILIES
     fused AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY fused_score DESC, citation) AS INTEGER) AS fused_rank FROM rrf QUALIFY fused_rank <= 50),
     flags AS (SELECT query_id, citation, max(CAST(list_id = 'rule_exact' AS INTEGER)) AS is_rule, max(CAST(list_id = 'sparse_title' AS INTEGER)) AS is_issue,
         max(CAST(list_id = 'sparse_text' AS INTEGER)) AS s, max(CAST(list_id = 'dense_multi_view' AS INTEGER)) AS v, min(source) AS hit_source FROM lists GROUP BY ALL),
-    c0 AS (SELECT f.query_id, q.query, f.citation, coalesce(docs.d.source, hit_source) AS source, trim(concat_ws(' ', f.citation, coalesce(docs.d.title, ''), coalesce(left(docs.d.text, 500), ''))) AS body,
+    c0 AS (SELECT f.query_id, q.query, f.citation, coalesce(docs.d.source, hit_source) AS source, trim(concat_ws(' ', f.citation, coalesce(docs.d.title, ''), coalesce(docs.d.text, ''))) AS body,
         fused_score, fused_rank, is_rule, is_issue, s * v AS is_both, CASE WHEN v = 1 AND s + is_rule + is_issue = 0 THEN 1 ELSE 0 END AS is_dense_only,
         CAST(coalesce(list_contains(coalesce(families, []), nullif({S.family_first('f.citation')}, '')), false) AS INTEGER) AS is_family,
         len({S.first_by_lower(S.matches('q.query', L.RULE_PATTERNS))}) > 0 AS explicit
@@ -81,7 +81,7 @@ _RESCUE = """rescued AS (SELECT query_id, citation, fused_rank FROM c0 WHERE NOT
     QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY fused_rank) <= 1)"""
 _PRIORITY = "is_laws DESC, tier DESC, is_rule DESC, is_family DESC, is_issue DESC, fused_rank, fused_score DESC, citation"
 _STRICT_ROWS = f"{S.GOLD}, {PRED}, {f1('strict', 'gold', 'pred')}"
-_FIELDS = """raw AS (SELECT query_id, source, citation, replace(list_id, 'sparse_', '') AS field, score FROM lists WHERE list_id IN ('sparse_citation', 'sparse_title', 'sparse_text')),
+_FIELDS = """raw AS (SELECT query_id, source, citation, replace(list_id, 'sparse_', '') AS field, score FROM hits WHERE list_id IN ('sparse_citation', 'sparse_title', 'sparse_text')),
     parts AS (SELECT query_id, source, citation, coalesce(max(CASE WHEN field = 'citation' THEN score END), 0.0) AS c, coalesce(max(CASE WHEN field = 'title' THEN score END), 0.0) AS t,
         coalesce(max(CASE WHEN field = 'text' THEN score END), 0.0) AS x FROM raw GROUP BY ALL)"""
 

@@ -79,7 +79,8 @@ def quota_cut(hits: DataFrame, queries: DataFrame, branch: str, most: int = 120)
 
 
 def with_families(hits: DataFrame, config: Config) -> DataFrame:
-    rows = FU.family_boost(hits, config.family_boost).drop("boosted")
+    matched = F.coalesce(FU.family_match(), F.lit(False))
+    rows = hits.withColumn("score", F.when(matched, F.col("score") * max(1.0, config.family_boost)).otherwise(F.col("score")))
     return FU.family_constrain(rows, config.family_min_keep) if config.family_constraints else rows
 
 
@@ -125,10 +126,14 @@ def laws_first(questions: DataFrame, corpus: DataFrame, dense: DataFrame | None
     return RR.ordered_union(rules, final.select("query_id", "citation", F.col("rerank_rank").alias("rank")), rescued)
 
 
-def baseline(hits: DataFrame, queries: DataFrame, docs: DataFrame, weights: dict[str, float] | None = None, top_n: int = 10, reranker: RR.Reranker = RR.token_overlap) -> DataFrame:
+def baseline(
+    hits: DataFrame, queries: DataFrame, docs: DataFrame, weights: dict[str, float] | None = None, top_n: int = 10, reranker: RR.Reranker = RR.token_overlap, depth: int | None = None
+) -> DataFrame:
     """Pipeline B over scored hits of any branches (query_id, list_id, source, citation, score): weighted fusion if
-    weights are given, else reciprocal ranks; then rerank to ``top_n``. ``docs``: citation, source, body."""
-    ranked = FU.rank_lists(hits, 60)
+    weights are given, else reciprocal ranks; then rerank to ``top_n``. ``docs``: citation, source, body. ``depth``: the
+    ranks of a list that count (all, if none is given)."""
+    ranked = FU.rank_whole(hits)
+    ranked = ranked if depth is None else ranked.where(F.col("rank") <= depth)
     pool = max(3 * top_n, 40)
     fused = FU.min_max(ranked, weights, pool) if weights else FU.reciprocal_rank(ranked, pool)
     rows = fused.select("query_id", "citation", F.col("score").alias("fused_score"), F.col("rank").alias("fused_rank")).join(docs, "citation", "left")

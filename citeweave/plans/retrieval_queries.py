@@ -19,9 +19,6 @@ from citeweave.plans import sql_text as S
 from citeweave.plans.text_queries import query_views
 from citeweave.runtime import checkpoint_dir, table
 
-LIST_CUT = 200
-
-
 # ---- sparse ---------------------------------------------------------------------------------------------------------
 
 
@@ -130,16 +127,16 @@ def rule_hits(spark: SparkSession, d: str) -> DataFrame:
     return R.search(C.questions(spark, d), C.corpus(spark, d), 60, 60)
 
 
-# ---- fusion ---------------------------------------------------------------------------------------------------------
+def rule_hits_typed(spark: SparkSession, d: str) -> DataFrame:
+    """J1-J6 for citations as people type them: the gold fields read as queries."""
+    return R.search(C.questions(spark, d).select("query_id", F.coalesce("gold", F.lit("")).alias("query")), C.corpus(spark, d), 60, 60)
 
 
-def lists(spark: SparkSession, d: str) -> DataFrame:
-    """The branches' lists, each cut at LIST_CUT, which bounds every group that follows."""
-    return FU.rank_lists(C.hits(spark, d), LIST_CUT)
+# ---- fusion ---------------------------------------------------------------------------------------------------------
 
 
-def whole_lists(spark: SparkSession, d: str) -> DataFrame:
-    """The branches' lists uncut, for the queries whose SQL does not cut them."""
+def lists(spark: SparkSession, d: str) -> DataFrame:
+    """The branches' lists, ranked whole; a hot list takes many tasks."""
     return FU.rank_whole(C.hits(spark, d))
 
 
@@ -188,14 +185,14 @@ def court_fuse_weighted(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _with_families(spark: SparkSession, d: str) -> DataFrame:
-    """The branches' first twenty hits with their question's predicted families."""
+    """All hits of the branches with their question's predicted families."""
     families = C.questions(spark, d).select("query_id", U.likely_families("query").alias("families"))
-    return FU.rank_lists(C.hits(spark, d), 20).join(families, "query_id")
+    return C.hits(spark, d).join(families, "query_id")
 
 
 def family_boost(spark: SparkSession, d: str) -> DataFrame:
     boosted = FU.family_boost(_with_families(spark, d).where("size(families) > 0"), 2.5)
-    return boosted.select("query_id", "list_id", "source", "citation", F.round("score", 6).alias("score"), "boosted")
+    return boosted.select("query_id", "list_id", "source", "citation", F.round("score", 6).alias("score"), "method", "rank")
 
 
 def family_constrain(spark: SparkSession, d: str) -> DataFrame:
@@ -213,7 +210,7 @@ def federated_decisions(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        bm25_term_stats, bm25_topk, bm25_per_source, bm25_stored, bm25_multi_view, bm25_field_aware, dense_topk, dense_source_blocks, dense_multi_view, hashed_vectors, rule_hits, rrf, rrf_source_weighted,
+        bm25_term_stats, bm25_topk, bm25_per_source, bm25_stored, bm25_multi_view, bm25_field_aware, dense_topk, dense_source_blocks, dense_multi_view, hashed_vectors, rule_hits, rule_hits_typed, rrf, rrf_source_weighted,
         weighted_fusion, branch_metadata, branch_bonus, branch_rescue, dedup_keep_max, merge_lists, dedup_ranked, court_fuse_weighted, family_boost, family_constrain, family_filter, federated_decisions,
     )
 }
@@ -240,8 +237,7 @@ def _terms_sql(name: str, source: str, query_id: str, text: str) -> str:
 
 _BODY = "SELECT source, row_id, trim(concat_ws(' ', norm, title, text)) AS body FROM corpus WHERE norm <> ''"
 _SEARCHED = f"{S.QUESTIONS}, {S.VIEWS}, searched AS (SELECT * FROM views WHERE row_id % 100 = 0)"
-_LISTS = f"""{S.HITS}, lists AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id, list_id ORDER BY score DESC, citation, source) AS INTEGER) AS rank FROM hits
-        QUALIFY row_number() OVER (PARTITION BY query_id, list_id ORDER BY score DESC, citation, source) <= {LIST_CUT})"""
+_LISTS = f"""{S.HITS}, lists AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id, list_id ORDER BY score DESC, citation, source) AS INTEGER) AS rank FROM hits)"""
 _DENSE = """
     vec AS (SELECT vec_id AS id, CASE WHEN label % 2 = 0 THEN 'laws_de' ELSE 'court_considerations' END AS source, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
     probe AS (SELECT id AS query_id, e FROM vec WHERE id % 100 = 0)"""
@@ -272,9 +268,22 @@ _FIELDS = f"""fdocs AS (SELECT source, 'citation' AS field, row_id, norm AS body
         UNION ALL SELECT source, 'title', row_id, title FROM corpus WHERE norm <> '' AND source = 'laws_de' UNION ALL SELECT source, 'text', row_id, text FROM corpus WHERE norm <> ''),
     {_bm25_sql('fdocs', 'source, field, row_id', 'source, field', 'terms', 'query_id')}"""
 _FAMILY_HITS = f"""{S.QUESTIONS}, {S.FAMILIES}, {S.HITS}, fam AS (SELECT query_id, list(family) AS families FROM likely GROUP BY query_id),
-    first20 AS (SELECT * FROM hits QUALIFY row_number() OVER (PARTITION BY query_id, list_id ORDER BY score DESC, citation, source) <= 20),
     fh AS (SELECT h.*, coalesce(families, []) AS families, list_contains(coalesce(families, []), nullif({S.family_first('h.citation')}, '')) AS matched
-        FROM first20 h JOIN questions USING (query_id) LEFT JOIN fam USING (query_id))"""
+        FROM hits h JOIN questions USING (query_id) LEFT JOIN fam USING (query_id))"""
+
+def _rules_sql(query: str) -> str:
+    return f"""WITH {S.CORPUS}, {S.QUESTIONS}, raw AS (SELECT query_id, unnest({S.first_by_lower(S.matches(query, L.RULE_PATTERNS))}) AS raw FROM questions),
+        pat AS (SELECT DISTINCT query_id, lower({S.norm('raw')}) AS pattern, {S.family_last('raw')} AS family, regexp_matches(raw, '(?i)\\b(?:art\\.?|article)\\s*\\d+') AS is_article FROM raw WHERE {S.norm('raw')} <> ''),
+        rdocs AS (SELECT source, citation, lower(norm) AS norm, {S.family_last('citation')} AS law, max(row_id) AS row_id FROM corpus WHERE norm <> '' GROUP BY ALL),
+        named AS (SELECT source, norm, arg_max(citation, {{'r': row_id, 'c': citation}}) AS citation FROM rdocs GROUP BY ALL),
+        found AS (SELECT query_id, source, citation, 1.0::DOUBLE AS score, 'rule_exact' AS method FROM pat JOIN named ON pattern = norm WHERE source <> 'laws_de' OR NOT is_article OR family <> ''
+            UNION ALL SELECT query_id, source, citation, 0.8::DOUBLE, 'rule_prefix' FROM pat JOIN rdocs ON starts_with(norm, pattern)
+                WHERE (source <> 'laws_de' OR NOT is_article OR family <> '') AND (family = '' OR law = '' OR family = law)
+            UNION ALL SELECT query_id, source, citation, 0.6::DOUBLE, 'rule_regex' FROM pat JOIN rdocs ON regexp_matches(norm,
+                replace(replace(regexp_replace(pattern, '([^\\p{{L}}\\p{{N}}_\\s])', '\\\\\\1', 'g'), '\\.', '\\.?\\s*'), ' ', '\\s+')) WHERE source = 'court_considerations'),
+        best AS (SELECT query_id, source, citation, max(score) AS score, arg_max(method, score) AS method FROM found GROUP BY ALL)
+        {_top('best', 'query_id, source', 'score DESC, citation', 60)}"""
+
 
 SQL = {
     "bm25_term_stats": f"""WITH {S.CORPUS}, docs AS ({_BODY}), none(query_id, term, qtf) AS (SELECT 0, '', 0 WHERE false), {_bm25_sql('docs', 'source, row_id', 'source', 'none', 'query_id')}
@@ -300,6 +309,8 @@ SQL = {
         r AS (SELECT p.query_id, v.source, v.id, round(round(list_dot_product(list_reverse(p.e), v.e), 6) * 0.9, 6) AS score FROM probe p, vec v),
         c AS ({_top('s', 'query_id, source', 'score DESC, id', 20)} UNION ALL {_top('r', 'query_id, source', 'score DESC, id', 20)}),
         best AS (SELECT query_id, source, id, max(score) AS score FROM c GROUP BY ALL) {_top('best', 'query_id', 'score DESC, id', 20)}""",
+    "rule_hits": _rules_sql("query"),
+    "rule_hits_typed": _rules_sql("gold"),
     "rrf": f"WITH {_LISTS}, {_rrf_sql()} {_top('rrf', 'query_id', 'score DESC, citation', 20)}",
     "rrf_source_weighted": f"""WITH {_LISTS}, {_rrf_sql("CASE source WHEN 'laws_de' THEN 1.2 WHEN 'court_considerations' THEN 0.8 ELSE 1.0 END")} {_top('rrf', 'query_id', 'score DESC, citation', 20)}""",
     "weighted_fusion": f"""WITH {_LISTS}, w(list_id, w) AS (VALUES ('sparse_bm25', 0.6), ('dense_multi_view', 0.4), ('rule_exact', 0.35)),
@@ -318,7 +329,7 @@ SQL = {
     "dedup_ranked": f"WITH {_LISTS}, f AS (SELECT query_id, citation, min(rank) AS first_ FROM lists GROUP BY ALL) {_top('f', 'query_id', 'first_, citation', 8, 'query_id, citation')}",
     "court_fuse_weighted": f"""WITH {_LISTS}, f AS (SELECT query_id, citation, round(sum(CASE list_id WHEN 'sparse_text' THEN 1.0::DOUBLE ELSE 1.5::DOUBLE END / (59.0 + rank)), 6) AS score FROM lists
         WHERE source = 'court_considerations' AND list_id IN ('sparse_text', 'dense_multi_view') GROUP BY ALL) {_top('f', 'query_id', 'score DESC, citation', 20)}""",
-    "family_boost": f"WITH {_FAMILY_HITS} SELECT query_id, list_id, source, citation, round(CASE WHEN coalesce(matched, false) THEN score * 2.5::DOUBLE ELSE score END, 6) AS score, coalesce(matched, false) AS boosted FROM fh WHERE len(families) > 0",
+    "family_boost": f"WITH {_FAMILY_HITS} SELECT query_id, list_id, source, citation, round(score, 6) AS score, CASE WHEN coalesce(matched, false) THEN list_id || '_family' ELSE list_id END AS method, CAST(row_number() OVER (PARTITION BY query_id, list_id ORDER BY score DESC, citation, source) AS INTEGER) AS rank FROM (SELECT * REPLACE (CASE WHEN coalesce(matched, false) THEN score * 2.5::DOUBLE ELSE score END AS score) FROM fh) WHERE len(families) > 0",
     "family_constrain": f"WITH {_FAMILY_HITS}, c AS (SELECT *, count_if(coalesce(matched, false)) OVER (PARTITION BY query_id) AS n FROM fh) SELECT query_id, list_id, source, citation FROM c WHERE n < 5 OR coalesce(matched, false)",
     "family_filter": f"WITH {_FAMILY_HITS} SELECT query_id, list_id, source, citation FROM fh WHERE len(families) = 0 OR coalesce(matched, false)",
     "federated_decisions": f"""WITH {S.HITS}, x AS (SELECT * FROM hits WHERE contains(citation, 'BGE') OR contains(citation, '_') OR contains(citation, '/'))

@@ -124,6 +124,31 @@ def test_rules(spark):
     assert {r.source for r in R.search(queries, corpus, 10, 0).collect()} == {"laws_de"}
 
 
+def test_rules_find_short_beginnings_and_what_stands_inside(spark):
+    corpus = spark.createDataFrame(
+        [("court_considerations", 1, "Art. 5 Abs. 2 BV", "Art. 5 Abs. 2 BV"), ("court_considerations", 2, "Urteil 5A_123/2020 vom 1.1.2020", "Urteil 5A_123/2020 vom 1.1.2020"), ("court_considerations", 3, "Urteil 5A_123/2021", "Urteil 5A_123/2021"), ("court_considerations", 4, "ATF vgl. BGE  137 IV122", "ATF vgl. BGE 137 IV122"), ("laws_de", 5, "Art.5 ZGB", "Art.5 ZGB"), ("laws_de", 6, "art.5 zgb", "art.5 zgb"), ("laws_de", 7, None, "")],
+        "source string, row_id long, citation string, norm string",
+    )
+    queries = spark.createDataFrame([("a", "Art. 5"), ("b", "5A_123/2020 E. 3 und 5A_123/2020"), ("c", "Art.5 ZGB"), ("d", None)], "query_id string, query string")
+    got = {(r.query_id, r.citation, r.method) for r in R.search(queries, corpus, 10, 10).collect()}
+    assert ("a", "Art. 5 Abs. 2 BV", "rule_prefix") in got and ("c", "art.5 zgb", "rule_exact") in got and ("c", "Art.5 ZGB", "rule_prefix") in got
+    assert not [g for g in got if "5A_123/2021" in g[1]] and R.search(queries.where("query_id = 'd'"), corpus, 10, 10).count() == 0
+
+
+def test_relaxed_patterns_meet_what_the_expression_matches(spark):
+    rng = random.Random(8)
+    parts = ["bge", "137", "iv", "12", "1", "art.", "5", "a_1/2", "e.", "."]
+    texts = sorted({"".join(rng.choice(parts) + rng.choice(["", " ", "  "]) for _ in range(rng.randint(1, 6))).strip() for _ in range(300)} - {""})
+    wanted = sorted({" ".join(rng.choice(parts) for _ in range(rng.randint(1, 4))) for _ in range(60)} - {"."})
+    docs = spark.createDataFrame([(t,) for t in texts], "norm string")
+    patterns = spark.createDataFrame([(w,) for w in wanted], "pattern string")
+    got = {(r.pattern, r.norm) for r in R._inside(patterns, docs).collect()}
+    expression = {w: re.compile(re.escape(w).replace(r"\ ", r"\s+").replace(r"\.", r"\.?\s*")) for w in wanted}
+    assert got == {(w, t) for w in wanted for t in texts if expression[w].search(t)} and len(got) > 100
+    starts = {(r.pattern, r.norm) for r in R._starts(patterns, docs).collect()}
+    assert starts == {(w, t) for w in wanted for t in texts if t.startswith(w)}
+
+
 def test_dense_against_brute_force(spark):
     rng = random.Random(1)
     vectors = [(i, "laws_de" if i % 2 else "court_considerations", [rng.uniform(-1, 1) for _ in range(8)]) for i in range(60)] + [(60, "laws_de", None)]

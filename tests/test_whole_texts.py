@@ -17,10 +17,10 @@ def test_bm25_pipeline_finds_what_stands_late(spark):
     assert [tuple(r) for r in P.bm25_baseline(questions, corpus(spark)).collect()] == [("q", 1, "Art. 1 ZGB")]
 
 
-def test_laws_first_indexes_whole_texts(spark):
-    index, _ = P.field_index(corpus(spark), P.Config().text_chars)
-    late = index.where("field = 'text' AND term = 'spaetwort'").collect()
-    assert [(r.row_id, r.tf, r.dl) for r in late] == [(1, 1, 401)]
+def test_laws_first_searches_whole_texts(spark):
+    questions = spark.createDataFrame([("q", "Spaetwort")], "query_id string, query string")
+    hits = P.field_search(P.C.fields_of(corpus(spark)), questions, "query", {"citation": 2.0, "title": 2.0, "text": 1.0}, 5).collect()
+    assert [(r.source, r.citation) for r in hits] == [("laws_de", "Art. 1 ZGB")]
 
 
 def test_laws_first_reranks_whole_texts(spark):
