@@ -160,8 +160,9 @@ def disclosing_names(
     return kept.groupBy("found_text").agg(F.max("cue").alias("cue"), F.max("run").alias("run")), revealing
 
 
-#: Of the names that end at one place: the one of most words, of equal words the one that begins where most names do.
-_ORDER = ("words", "support", "length")
+#: Of the names that end at one place: the one of most words, of equal words the one that begins where most names do, then one
+#: that is announced elsewhere as it stands.
+_ORDER = ("words", "support", "cue", "length")
 
 
 def _chosen(rows: DataFrame, revealing: DataFrame) -> DataFrame:
@@ -216,7 +217,7 @@ def _sanitise(shared, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
                 out.append(text)
                 continue
             found, spans, taken = passages(text)
-            best: dict[int, tuple[tuple[int, int, int], str]] = {b: ((1, 0, b - a), text[a:b]) for a, b in spans if text[a:b] in announced}
+            best: dict[int, tuple[tuple[int, int, bool, int], str]] = {b: ((1, 0, True, b - a), text[a:b]) for a, b in spans if text[a:b] in announced}
             for _, _, b, ends in uncued(text, taken):
                 for at, words, _, doubtful in ends:
                     phrase = text[at:b]
@@ -224,7 +225,7 @@ def _sanitise(shared, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
                         continue
                     met = [(c, support[c]) for c in contexts(text, at, b, words) if c in support]
                     if met or not doubtful:
-                        best[b] = max(best.get(b, ((0, 0, 0), "")), ((words, sum(n for c, n in met if c[0] != AFTER), len(phrase)), phrase))
+                        best[b] = max(best.get(b, ((0, 0, False, 0), "")), ((words, sum(n for c, n in met if c[0] != AFTER), phrase in announced, len(phrase)), phrase))
             out.append(mask(text, [{"pii_type": k, "found_text": p} for k, p in found | {("person", p) for _, p in best.values()}]))
         yield pa.record_batch([batch.column(0), pa.array(out, pa.string())], names=["doc_id", "text"])
 
