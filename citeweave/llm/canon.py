@@ -4,15 +4,17 @@ from __future__ import annotations
 
 import re
 import unicodedata
+import uuid
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import pandas as pd
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from citeweave.operators.skew import join_unique
-from citeweave.runtime import cut_lineage
+from citeweave.runtime import cut_lineage, shuffle_partitions
 
 #: Labels as they are typed, and what each stands for.
 LABELS = {
@@ -78,8 +80,11 @@ _COLLECTION = re.compile(r"(?<![\d.])(\d{3}(?:\.\d+)+)(?![\d.])")
 _BRACKET = re.compile(r"\([^()]*\)?|\[[^\[\]]*\]?")
 
 
-def parser(trie: Trie, labels: Trie) -> Callable[[str], list[tuple[int, str]]]:
-    """A function from a typed citation to the keys it may stand for, each with its distance; exact in every number."""
+def parser(trie: Trie, labels: Trie, reserved: Trie) -> Callable[[str], list[tuple[int, str]]]:
+    """A function from a typed citation to the keys it may stand for, each with its distance; exact in every number.
+
+    ``reserved``: names of laws that look like labels; a word near one is no misspelt label.
+    """
 
     @lru_cache(maxsize=200_000)
     def law_of(word: str) -> tuple[tuple[int, str], ...]:
@@ -89,7 +94,7 @@ def parser(trie: Trie, labels: Trie) -> Callable[[str], list[tuple[int, str]]]:
     def label_of(word: str) -> str | None:
         if word in LABELS:
             return LABELS[word]
-        if len(word) < 3 or law_of(word):
+        if len(word) < 3 or law_of(word) or reserved.near(word, allowed_distance(word)):
             return None
         near = labels.near(word, 1)
         return near[0][1] if near else None
@@ -147,57 +152,104 @@ def parser(trie: Trie, labels: Trie) -> Callable[[str], list[tuple[int, str]]]:
     return parse
 
 
-def reference_aliases(reference: DataFrame, most_laws: int = 20_000) -> list[tuple[str, str]]:
-    """(alias, law) for the short name, full name and number of every law (never more than ``most_laws``) of the list.
+#: Entries (and their aliases) that one task holds as a trie, some 200 MB; longer lists are searched in shards of laws.
+MOST_ENTRIES = 200_000
 
-    Only the distinct laws reach the driver; the entries stay distributed and are met by a join on the parsed key.
-    """
-    laws = reference.where("law_name IS NOT NULL").groupBy(F.lower(F.element_at(F.split("canonical_citation", " "), -1)).alias("short"))
-    laws = laws.agg(F.min(F.lower("law_name")).alias("name"), F.min("sr_number").alias("sr")).limit(most_laws + 1).collect()
-    if len(laws) > most_laws:
-        raise ValueError(f"more than {most_laws} distinct laws in the reference list")
-    return [(unicodedata.normalize("NFKC", alias), law.short) for law in laws for alias in (law.short, law.name, law.sr) if alias]
+Entry = tuple[int, str, str | None, str | None]
+
+
+def law_id(citation: str, sr: str | None) -> str:
+    """A law is its short name and number; under one short name and number all full names name one law."""
+    short = unicodedata.normalize("NFKC", citation).split()[-1].lower() if citation.split() else ""
+    return f"{short}/{sr}" if sr else short
+
+
+def _aliases(citation: str, name: str | None, sr: str | None) -> list[str]:
+    """Short name, full name and number of an entry's law; none for a decision."""
+    if not name and not sr:
+        return []
+    words = unicodedata.normalize("NFKC", citation).split()
+    return [a for a in (words[-1].lower() if words else "", unicodedata.normalize("NFKC", name or "").lower(), sr or "") if a]
+
+
+class Reference:
+    """A trie of the entries: every alias of a law is a path to the law, and from there each article and paragraph leads to
+    its entries; decisions are met by their numbers. Aliases are walked by the Levenshtein automaton, numbers exactly."""
+
+    def __init__(self, entries: list[Entry], reserved: list[str]) -> None:
+        trie, labels, names = Trie(), Trie(), Trie()
+        for _, citation, name, sr in entries:
+            for alias in _aliases(citation, name, sr):
+                trie.add(alias, law_id(citation, sr))
+        for label, kind in FUZZY_LABELS.items():
+            labels.add(label, kind)
+        for alias in reserved:
+            names.add(alias, alias)
+        self.parse = parser(trie, labels, names)
+        self.entries: dict[str, int] = {}
+        for i, citation, name, sr in entries:
+            own = f"S|{law_id(citation, sr)}|"
+            for distance, key in self.parse(citation):
+                if distance == 0 and (key.startswith(own) if name or sr else not key.startswith("S|")):
+                    self.entries[key] = min(i, self.entries.get(key, i))
 
+    def find(self, typed: str) -> list[tuple[int, int]]:
+        """(distance, entry) of all readings; 0 is a law that has no such entry."""
+        return sorted({(d, self.entries.get(key, 0)) for d, key in self.parse(typed)})
 
-def build_parser(aliases: list[tuple[str, str]]) -> Callable[[str], list[tuple[int, str]]]:
-    trie, labels = Trie(), Trie()
-    for alias, law in aliases:
-        trie.add(alias, law)
-    for label, kind in FUZZY_LABELS.items():
-        labels.add(label, kind)
-    return parser(trie, labels)
 
+#: The trie of a broadcast list, built once a worker.
+_BUILT: dict[int, Reference] = {}
 
-def parse_values(values: DataFrame, column: str, aliases: list[tuple[str, str]]) -> DataFrame:
-    """``column``, ``distance``, ``key`` for every way a value can be read."""
 
+def _find_all(shared: Broadcast, key: int):
     def op(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        parse = build_parser(aliases)
+        if key not in _BUILT:
+            _BUILT.clear()
+            _BUILT[key] = Reference(*shared.value)
+        reference = _BUILT[key]
         for batch in batches:
-            out = [(v, d, k) for v in batch[column] for d, k in parse(v)]
-            yield pd.DataFrame(out, columns=[column, "distance", "key"])
+            out = [(v, d, i) for v in batch["_value"] for d, i in reference.find(v)]
+            yield pd.DataFrame(out, columns=["_value", "distance", "id"])
 
-    return values.select(column).mapInPandas(op, f"{column} string, distance int, key string")
+    return op
 
 
 def map_to_reference(df: DataFrame, value: str, reference: DataFrame) -> DataFrame:
     """``df`` with ``canonical_id``: the entry of ``reference`` that ``value`` names, 0 if none.
 
-    Every distinct value is read once: numbers exactly, the law's name within the length-dependent distance of an
-    alias. The nearest reading with an entry wins; if two entries are equally near, the value names neither for sure
-    and gets 0. Rows meet their value's result by a join that leaves hot values where they are.
+    1. The entries go to every task as a trie (at most MOST_ENTRIES, checked; longer lists in shards, all entries of a law in
+       one, each searched in turn). All short and full names and numbers of a law are alias paths.
+    2. Every distinct value is read once, over all cores: numbers exactly, the law's name within the length-dependent
+       distance of an alias. The nearest reading wins; if it leads to two entries, the value names neither for sure and gets 0.
+    3. Rows meet their value's result by a join that leaves hot values where they are.
 
     Cases: a NULL or blank value names nothing (0); very long values are read whole; repeated rows stay repeated; an
-    empty table gives an empty result; duplicate keys in the reference resolve to the least id.
+    empty table gives an empty result; entries of one meaning resolve to the least id; laws of one short name and different
+    numbers are told apart by their full names and numbers.
     """
-    aliases = reference_aliases(reference)
-    ids = parse_values(reference.select("canonical_citation").distinct(), "canonical_citation", aliases)
-    ids = ids.where("distance = 0").join(reference.select("canonical_citation", "canonical_id"), "canonical_citation")
-    ids = ids.groupBy("key").agg(F.min("canonical_id").alias("canonical_id"))
-    rows = cut_lineage(df.withColumn("_value", F.coalesce(F.col(value), F.lit(""))))
+    spark = df.sparkSession
+    entries = reference.where("canonical_id IS NOT NULL AND canonical_citation IS NOT NULL").select(F.col("canonical_id").cast("long"), "canonical_citation", "law_name", "sr_number")
+    shards = max(1, -(-entries.count() // MOST_ENTRIES))
+    law = F.when(F.col("law_name").isNull() & F.col("sr_number").isNull(), F.col("canonical_citation")).otherwise(F.concat_ws("/", F.lower(F.element_at(F.split("canonical_citation", " "), -1)), "sr_number"))
+    entries = entries.withColumn("_shard", F.pmod(F.xxhash64(law), F.lit(shards)))
+    reserved: list[str] = []
+    if shards > 1:
+        entries = cut_lineage(entries)
+        name = F.lower(F.element_at(F.split("canonical_citation", " "), -1))
+        like = F.exists(F.array(*[F.lit(x) for x in FUZZY_LABELS]), lambda x: F.levenshtein(name, x) <= 2)
+        # Names this short and this near to five words are few, whatever the length of the list.
+        reserved = [r[0] for r in entries.where(F.col("law_name").isNotNull() | F.col("sr_number").isNotNull()).where(like).select(name).distinct().collect()]
+    rows = cut_lineage(df.withColumn("_value", F.coalesce(F.col(value).cast("string"), F.lit(""))))
     values = rows.select("_value").distinct()
-    near = parse_values(values, "_value", aliases).join(ids, "key").groupBy("_value", "distance").agg(F.collect_set("canonical_id").alias("_ids"))
-    near = near.groupBy("_value").agg(F.min_by("_ids", "distance").alias("_ids"))
-    named = near.where(F.size("_ids") == 1).select("_value", F.col("_ids")[0].alias("canonical_id"))
+    spread = values.repartition(max(shuffle_partitions(spark), spark.sparkContext.defaultParallelism), "_value")
+    spread = cut_lineage(spread) if shards > 1 else spread
+    found = None
+    for k in range(shards):
+        part = [tuple(r) for r in entries.where(F.col("_shard") == k).drop("_shard").collect()]
+        near = spread.mapInPandas(_find_all(spark.sparkContext.broadcast((part, reserved)), uuid.uuid4().int), "_value string, distance int, id long")
+        found = near if found is None else found.unionByName(near)
+    best = found.groupBy("_value", "distance").agg(F.collect_set("id").alias("_ids")).groupBy("_value").agg(F.min_by("_ids", "distance").alias("_ids"))
+    named = best.select("_value", F.array_remove("_ids", F.lit(0).cast("long")).alias("_ids")).where(F.size("_ids") == 1).select("_value", F.col("_ids")[0].alias("canonical_id"))
     lookup = cut_lineage(values.join(named, "_value", "left").select("_value", F.coalesce("canonical_id", F.lit(0)).cast("long").alias("canonical_id")))
     return join_unique(rows.drop("canonical_id"), lookup, "_value").drop("_value")

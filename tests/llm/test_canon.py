@@ -36,6 +36,35 @@ def test_cases(spark):
     assert many.count() == 2 * len(CASES)
 
 
+TWO_NAMES = [
+    (1001, "Art. 1 Abs. 1 ZGB", "Zivilgesetzbuch", "853.100"), (1002, "Art. 2 ZGB", "Code civil", "853.100"), (1003, "Art. 1 Abs. 1 HG", "Handelsgesetz", "900.1"), (1004, "Art. 7 HG", "Heimatgesetz", "700.2"),
+    (1005, "Art. 3 ARTG", "Artengesetz", "1.2"), (1006, "8C_634/2037 E. 8.6", None, None), (1007, "Art. 1 KUG", None, None), (1008, "Art. 9 VG", "Vereinsgesetz", None),
+]
+TWO_CASES = {
+    "Art. 1 Abs. 1 Zivilgesetzbuch": 1001, "Art. 1 Abs. 1 Code civil": 0, "Art. 2 Zivilgesetzbuch": 1002, "SR 853.100 Art. 2": 1002, "Art. 7 Heimatgesetz": 1004, "Art. 7 Handelsgesetz": 0, "Art. 7 HG": 1004,
+    "Art. 1 Abs. 1 Handelsgesetz": 1003, "Art. 3 Artg": 1005, "Art. 3 Artengesez": 1005, "8C 634/2037 E.8.6": 1006, "Art. 9 Vereinsgesetz": 1008,
+}
+
+
+@pytest.mark.parametrize("most", [200_000, 2])
+def test_all_names_of_a_law_lead_to_its_entries_in_one_trie_or_in_shards(spark, monkeypatch, most):
+    from citeweave.llm import canon
+
+    monkeypatch.setattr(canon, "MOST_ENTRIES", most)
+    for table, cases in ((TWO_NAMES, TWO_CASES), (REFERENCE, CASES)):
+        reference = spark.createDataFrame(table, "canonical_id long, canonical_citation string, law_name string, sr_number string")
+        df = spark.createDataFrame([(i, v) for i, v in enumerate(cases)], "i int, v string")
+        got = {r.i: r.canonical_id for r in map_to_reference(df, "v", reference).collect()}
+        assert {v: got[i] for i, v in enumerate(cases)} == cases
+
+
+def test_a_list_of_many_laws(spark):
+    reference = spark.range(2500).selectExpr("id + 1001 AS canonical_id", "concat('Art. ', id % 90 + 1, ' L', hex(id * 7919 + 65536), 'V') AS canonical_citation", "concat(hex(id * 104729 + 16777216), 'gesetz') AS law_name", "concat('9', id % 97, '.', id) AS sr_number")
+    some = spark.createDataFrame([(r.canonical_citation.lower(), r.canonical_id) for r in reference.where("canonical_id % 331 = 0").collect()], "v string, want long")
+    rows = map_to_reference(some, "v", reference).collect()
+    assert len(rows) > 5 and all(r.canonical_id == r.want for r in rows)
+
+
 def distance(a, b):
     d = {(-1, -1): 0}
     for i in range(-1, len(a)):
