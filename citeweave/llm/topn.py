@@ -13,8 +13,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from citeweave.runtime import shuffle_partitions
-
 
 class LoserTree:
     """Tournament over the heads of sorted runs: ``pop`` gives the least head after log2(k) comparisons."""
@@ -52,45 +50,52 @@ class LoserTree:
         return out
 
 
+def _first_of(table: pa.Table) -> np.ndarray:
+    """Whether a row of a sorted table is the first of its item: group and all columns but the score."""
+    key = np.zeros(table.num_rows, dtype=np.int64)
+    for i in range(table.num_columns):
+        if i != 1:
+            code = np.asarray(pc.fill_null(pc.dictionary_encode(table.column(i), null_encoding="encode").combine_chunks().indices, 0)).astype(np.int64)
+            # Numbered anew after each column, so that the pairs never overflow.
+            key = np.unique(key * (int(code.max()) + 1) + code, return_inverse=True)[1]
+    first = np.zeros(table.num_rows, dtype=bool)
+    first[np.unique(key, return_index=True)[1]] = True
+    return first
+
+
 def _runs(n: int, key: str, arrow_key: pa.DataType, arrow_items: pa.StructType):
-    """Cut a partition sorted by (group, order) into one run per group of at most ``n`` items.
+    """Cut a partition sorted by (group, order) into one run per group of at most ``n`` distinct items.
 
     The rest of a group is skipped by its run end, never looked at row by row; at most n rows are held over a batch
     border.
     """
 
-    def emit(part: pa.RecordBatch | pa.Table) -> pa.RecordBatch:
-        groups = part.column(0)
-        groups = groups.combine_chunks() if isinstance(groups, pa.ChunkedArray) else groups
+    def emit(part: pa.Table) -> pa.RecordBatch:
+        groups = part.column(0).combine_chunks()
         ends = np.asarray(pc.run_end_encode(groups).run_ends)
         starts = np.concatenate([[0], ends[:-1]])
-        cols = [c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in part.columns[1:]]
+        cols = [c.combine_chunks() for c in part.columns[1:]]
         items = pa.StructArray.from_arrays(cols, fields=list(arrow_items))
         offsets = pa.array(np.concatenate([[0], ends]).astype(np.int32))
         return pa.record_batch([groups.take(pa.array(starts)).cast(arrow_key), pa.ListArray.from_arrays(offsets, items)], names=[key, "run"])
 
     def op(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: pa.Table | None = None
-        last, seen = None, 0
         for batch in batches:
-            if not batch.num_rows:
+            if not batch.num_rows or not n:
                 continue
-            ends = np.asarray(pc.run_end_encode(batch.column(0)).run_ends)
+            rows = pa.Table.from_batches([batch])
+            # The rows held are the first n distinct items of the open group; what follows of it ranks behind them.
+            rows = rows if held is None else pa.concat_tables([held, rows])
+            rows = rows.take(pa.array(np.flatnonzero(_first_of(rows))))
+            ends = np.asarray(pc.run_end_encode(rows.column(0).combine_chunks()).run_ends)
             starts = np.concatenate([[0], ends[:-1]])
-            first = batch.column(0)[0].as_py()
-            skip = np.zeros(len(starts), dtype=np.int64)
-            if last is not None and first == last[0]:
-                skip[0] = seen
-            keep = np.minimum(ends - starts, np.maximum(0, n - skip))
+            keep = np.minimum(ends - starts, n)
             at = np.repeat(starts, keep) + (np.arange(keep.sum()) - np.repeat(np.cumsum(keep) - keep, keep))
-            tail = (batch.column(0)[batch.num_rows - 1].as_py(),)
-            seen, last = int(skip[-1] + ends[-1] - starts[-1]), tail
-            kept = pa.Table.from_batches([batch]).take(pa.array(at))
-            held = kept if held is None else pa.concat_tables([held, kept])
-            ends = np.asarray(pc.run_end_encode(held.column(0).combine_chunks()).run_ends) if held.num_rows else np.array([0])
-            if len(ends) > 1:
-                yield emit(held.slice(0, int(ends[-2])))
-                held = held.slice(int(ends[-2]))
+            rows, done = rows.take(pa.array(at)), int(keep[:-1].sum())
+            if done:
+                yield emit(rows.slice(0, done))
+            held = rows.slice(done).combine_chunks()
         if held is not None and held.num_rows:
             yield emit(held)
 
@@ -98,7 +103,8 @@ def _runs(n: int, key: str, arrow_key: pa.DataType, arrow_items: pa.StructType):
 
 
 def _merge(n: int, fields: list[str], descending: list[bool], flat: pa.Schema | None, nested: pa.Schema):
-    """Merge the runs of each group by a loser tree, seeking to the next group after ``n`` outputs."""
+    """Merge the runs of each group by a loser tree, seeking to the next group after ``n`` outputs. An item that several runs
+    hold comes out once, at its best place."""
 
     def op(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -115,8 +121,12 @@ def _merge(n: int, fields: list[str], descending: list[bool], flat: pa.Schema |
             for g in range(batch.num_rows):
                 runs = [range(run_ends[r], run_ends[r + 1]) for r in range(group_ends[g], group_ends[g + 1])]
                 tree = LoserTree([_View(keys, r) for r in runs])
-                k = 0
+                k, seen = 0, set()
                 while k < n and (head := tree.pop()) is not None:
+                    if len(runs) > 1:
+                        if head[0][1:] in seen:
+                            continue
+                        seen.add(head[0][1:])
                     take.append(head[1])
                     k += 1
                     ranks.append(k)
@@ -161,25 +171,21 @@ def top_n_per_group(df: DataFrame, group: str, score: str, items: list[str], n:
     An item is a distinct combination of ``items``; its score is the highest of its rows. Order: score descending, then
     ``items`` ascending by code point, NULLs last.
 
-    1. Rows are combined per (group, items) on the map side and shuffled by all of these, so a group with a third of
-       all rows spreads over all tasks.
-    2. Each task sorts its items by (group, order) and stores one run of at most n items per group; the rest of a group
-       is skipped.
-    3. Runs meet by group (at most one per task and n items each, so the largest group stays small), in a tree of
-       ``fan_in`` where there are more tasks, and a loser tree merges them.
+    1. Each task sorts the rows it reads by (group, order) and stores one run of at most n distinct items per group; the
+       rest of a group is skipped. Nothing is shuffled before, and of a hot group a task passes on n items at most.
+    2. Runs meet by group (at most one per task and n items each, so the largest group stays small), in a tree of
+       ``fan_in`` where there are more tasks, and a loser tree merges them, each item once.
 
     Cases: rows whose score or first item column is NULL, or whose score is NaN, do not count; a NULL group is a group;
     a group without a counting row is absent; other columns of ``df`` are ignored, whatever their names; an empty table
     gives an empty result; n < 1 gives an empty result.
     """
-    spark = df.sparkSession
     kinds = {f.name: f.dataType for f in df.schema.fields}
     value = F.col(score).cast("double")
     rows = df.select(F.col(group).alias("_g"), (value + F.lit(0.0)).alias("_s"), *[F.col(c).alias(f"_i{k}") for k, c in enumerate(items)])
     rows = rows.where(F.col("_s").isNotNull() & ~F.isnan("_s") & F.col("_i0").isNotNull())
     names = [f"_i{k}" for k in range(len(items))]
-    best = rows.groupBy("_g", *names).agg(F.max("_s").alias("_s")).select("_g", "_s", *names)
-    best = best.sortWithinPartitions("_g", F.desc("_s"), *[F.asc_nulls_last(c) for c in names])
+    best = rows.sortWithinPartitions("_g", F.desc("_s"), *[F.asc_nulls_last(c) for c in names])
     struct = T.StructType([T.StructField("_s", T.DoubleType()), *[T.StructField(c, kinds[i]) for c, i in zip(names, items)]])
     nested = T.StructType([T.StructField("_g", kinds[group]), T.StructField("run", T.ArrayType(struct))])
     flat = T.StructType([T.StructField(group, kinds[group]), T.StructField("item_rank", T.IntegerType()), T.StructField(score, T.DoubleType()), *[T.StructField(i, kinds[i]) for i in items]])
@@ -189,7 +195,7 @@ def top_n_per_group(df: DataFrame, group: str, score: str, items: list[str], n:
     fields = ["_s", *names]
     arrow_nested = pa.schema([pa.field("_g", to_arrow_type(kinds[group])), pa.field("run", pa.list_(arrow_struct))])
     arrow_flat = pa.schema([pa.field(f.name, to_arrow_type(f.dataType)) for f in flat.fields])
-    tasks = shuffle_partitions(spark)
+    tasks = rows.rdd.getNumPartitions()
     while tasks > fan_in:
         tasks = math.ceil(tasks / fan_in)
         gathered = runs.withColumn("_part", F.pmod(F.spark_partition_id(), F.lit(tasks))).groupBy("_g", "_part").agg(F.collect_list("run").alias("runs")).select("_g", "runs")
