@@ -318,3 +318,16 @@ STATUTE_SIGNALS = {
     "statute_family": r"(?i)\b(?:" + "|".join(FAMILIES_ROUTE) + r")\b",
 }
 
+# Names of codes in English, what a gold pattern looks like, the pattern and numbers of the plain extraction, and
+# the marks of a question that names a source.
+CODE_NAMES = (
+    ("ZGB", r"(?i)\bcivil code\b"),
+    ("OR", r"(?i)\bcode of obligations\b"),
+    ("STPO", r"(?i)\bcriminal procedure code\b"),
+    ("STGB", r"(?i)\bcriminal code\b"),
+    ("ZPO", r"(?i)\bcivil procedure\b"),
+)
+GOLD_PATTERN = r"(?i)(art\.|article|bge|\d+[A-Za-z]*_[0-9]+/[0-9]{4})"
+PLAIN_ARTICLE = r"Art\.\s*\d+(?:\s+(?:Abs\.|lit\.|Ziff\.)\s+[a-z0-9]+)*\s+[A-Za-z]+"
+SR_NUMBERS = {"StPO": "312.0", "StGB": "311.0", "ZGB": "210", "OR": "220", "BGG": "173.110", "BV": "101"}
+ANCHORS = ("Art.", "BGE", "_")

@@ -181,3 +181,30 @@ def error_taxonomy(f1: Column, precision: Column, recall: Column, missing: Colum
         .when(f1 < 0.4, "both_weak")
         .otherwise("stable")
     )
+
+
+def explicit_families(query: Column | str) -> Column:
+    """Families that the query names by code or by the English name of a code, in the order of the lists."""
+    text = F.coalesce(col(query), F.lit(""))
+    coded = [F.when(F.rlike(text, F.lit(rf"(?i)\b{f}\b")), F.lit(f)) for f in L.FAMILIES_FIRST]
+    named = [F.when(F.rlike(text, F.lit(p)), F.lit(f)) for f, p in L.CODE_NAMES]
+    return F.array_distinct(F.filter(F.array(*coded, *named), lambda f: f.isNotNull()))
+
+
+def plain_citations(c: Column | str) -> Column:
+    """Articles that a text names, without letters and items, each once, sorted."""
+    found = F.regexp_extract_all(F.coalesce(col(c), F.lit("")), F.lit(L.PLAIN_ARTICLE), 0)
+    bare = F.transform(found, lambda x: F.trim(F.regexp_replace(F.regexp_replace(F.regexp_replace(x, r"\s+lit\.\s+[a-z]+", ""), r"\s+Ziff\.\s+\d+", ""), BLANKS, " ")))
+    return F.array_sort(F.array_distinct(bare))
+
+
+def numbered_law(c: Column | str) -> Column:
+    """A citation without letters and items, with the numbers of the laws for their names."""
+    out = F.regexp_replace(F.regexp_replace(F.coalesce(col(c), F.lit("")), r"\s+lit\.\s+[a-z]+", ""), r"\s+Ziff\.\s+\d+", "")
+    return F.trim(reduce(lambda x, ab: F.replace(x, F.lit(ab[0]), F.lit(ab[1])), L.SR_NUMBERS.items(), out))
+
+
+def language_gap(query: Column | str) -> Column:
+    """More than 0.6 of the characters are letters a to z: a question in English against texts in other languages."""
+    text = F.lower(F.coalesce(col(query), F.lit("")))
+    return F.length(F.regexp_replace(text, "[^a-z]", "")) / F.greatest(F.length(text), F.lit(1)) > 0.6

@@ -86,7 +86,13 @@ def source_map(rows: DataFrame) -> DataFrame:
 def doc_lookup(rows: DataFrame) -> DataFrame:
     """The row that stands for a normalised citation; the later row wins, court after laws."""
     order = F.struct((F.col("source") == COURT).cast("int").alias("o"), F.col("row_id"))
-    return rows.where("norm <> ''").groupBy("norm").agg(F.max_by(F.struct("source", "row_id", "title", "text"), order).alias("d")).select("norm", "d.*")
+    chosen = rows.where("norm <> ''").groupBy("norm").agg(F.max_by(F.struct("source", "row_id"), order).alias("d")).select("norm", "d.*")
+    return chosen.join(rows.select("source", "row_id", "title", "text"), ["source", "row_id"]).select("norm", "source", "row_id", "title", "text")
+
+
+def first_rows(rows: DataFrame) -> DataFrame:
+    """M4: the first row of every normalised citation: norm, row_id."""
+    return rows.where("norm <> ''").groupBy("norm").agg(F.min("row_id").alias("row_id"))
 
 
 def corpus_stats(rows: DataFrame) -> DataFrame:

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from citeweave.functions import text as T
@@ -17,9 +18,13 @@ SCHEMA = pa.schema([("query_id", pa.int64()), ("source", pa.string()), ("id", pa
 
 
 def _search(ids: np.ndarray, matrix: np.ndarray, k: int, step: int = 1024):
-    """Per task and source the ``k`` best of every query of the block; ties at the border all stay until the final rank."""
+    """Per task and source the ``k`` best of every query of the block, kept over all its batches; ties at the border all stay
+    until the final rank."""
 
     def op(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # Of each source: the least score that still counts for every query, and the (query, row, score) kept so far.
+        kept: dict[str, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+        least: dict[str, np.ndarray] = {}
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -29,16 +34,25 @@ def _search(ids: np.ndarray, matrix: np.ndarray, k: int, step: int = 1024):
             vectors = flat.reshape(len(rows), -1)
             for source in dict.fromkeys(sources.tolist()):
                 mine = np.flatnonzero(sources == source)
+                bound = least.setdefault(source, np.full(len(ids), -np.inf))
                 for a in range(0, len(mine), step):
                     part = mine[a : a + step]
                     scores = np.round(vectors[part] @ matrix.T, 9)
-                    if len(part) > k:
-                        cut = np.partition(scores, len(part) - k, axis=0)[len(part) - k]
-                        keep = scores >= cut - 1e-6
-                    else:
-                        keep = np.ones_like(scores, dtype=bool)
-                    r, c = np.nonzero(keep)
-                    yield pa.record_batch([pa.array(ids[c]), pa.array([source] * len(r), pa.string()), pa.array(rows[part][r]), pa.array(scores[r, c])], schema=SCHEMA)
+                    r, c = np.nonzero(scores >= bound - 1e-6)
+                    if not len(r):
+                        continue
+                    query, row, score = c, rows[part][r], scores[r, c]
+                    if source in kept:
+                        query, row, score = (np.concatenate(p) for p in zip(kept[source], (query, row, score)))
+                    order = np.lexsort((-score, query))
+                    query, row, score = query[order], row[order], score[order]
+                    place = np.arange(len(query)) - np.searchsorted(query, query)
+                    edge = place == k - 1
+                    bound[query[edge]] = score[edge]
+                    keep = score >= bound[query] - 1e-6
+                    kept[source] = query[keep], row[keep], score[keep]
+        for source, (query, row, score) in kept.items():
+            yield pa.record_batch([pa.array(ids[query]), pa.array([source] * len(query), pa.string()), pa.array(row), pa.array(score)], schema=SCHEMA)
 
     return op
 
@@ -78,30 +92,54 @@ def dense_blocks(corpus: DataFrame, queries: DataFrame, k_laws: int, k_court: in
     return top_k(kept, ["query_id"], [F.when(laws, 0).otherwise(1), F.asc("source_rank")], k_laws + k_court)
 
 
-def _project(grams: np.ndarray, dims: int, seed: int) -> np.ndarray:
-    """The unit-length sum of one row of signs for each gram; signs are the top bits of a mixed (gram, place, seed)."""
+@lru_cache(maxsize=2)
+def _signs(dims: int, bits: int, seed: int) -> np.ndarray:
+    """A row of signs for each hashed gram, drawn once a worker: the top bits of a mixed (gram, place, seed)."""
     with np.errstate(over="ignore"):
-        x = grams[:, None] * np.uint64(0x9E3779B97F4A7C15) + np.arange(dims, dtype=np.uint64) * np.uint64(0xBF58476D1CE4E5B9) + np.uint64(seed)
+        x = np.arange(1 << bits, dtype=np.uint64)[:, None] * np.uint64(0x9E3779B97F4A7C15) + np.arange(dims, dtype=np.uint64) * np.uint64(0xBF58476D1CE4E5B9) + np.uint64(seed)
         x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
         x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    v = np.where(x >> np.uint64(63), 1.0, -1.0).sum(axis=0)
+    return np.where(x >> np.uint64(63), np.int8(1), np.int8(-1))
+
+
+def _project(grams: np.ndarray, signs: np.ndarray) -> np.ndarray:
+    """The unit-length sum of one row of signs for each gram."""
+    v = signs[grams].sum(axis=0, dtype=np.int32).astype(np.float64)
     norm = np.linalg.norm(v)
     return v / norm if norm else v
 
 
-def hashed_vectors(rows: DataFrame, id_column: str, text, dims: int = 256, bits: int = 18, seed: int = 42) -> DataFrame:
+#: An encoder turns a column of texts into a column of vectors; corpus and queries take the same one.
+Encoder = Callable[[Column], Column]
+
+
+def encode(rows: DataFrame, text: str, encoder: Encoder) -> DataFrame:
+    """``rows`` with ``embedding``; the encoder may be a pandas UDF that hosts a model, or ``hashed_encoder``."""
+    return rows.withColumn("embedding", encoder(F.col(text)))
+
+
+def hashed_encoder(dims: int = 256, bits: int = 18, seed: int = 42) -> Encoder:
     """D3: hashed counts of words and word pairs, projected to ``dims`` by signs drawn from a hash, unit length.
 
     A Johnson-Lindenstrauss projection keeps inner products as well as a truncated decomposition and needs no pass over
     the corpus: each text becomes a vector where it is read. ``bits`` bound the hashed vocabulary.
     """
-    words = T.tokens(text)
-    pairs = F.transform(F.slice(words, 1, F.greatest(F.size(words) - 1, F.lit(0))), lambda w, i: F.concat(w, F.lit(" "), F.element_at(words, i + 2)))
-    grams = F.concat(words, pairs)
 
     def project(batches: pd.Series) -> pd.Series:
-        return pd.Series([_project(np.asarray(g, dtype=np.uint64), dims, seed).tolist() for g in batches])
+        signs = _signs(dims, bits, seed)
+        return pd.Series([_project(np.asarray(g, dtype=np.int64), signs).tolist() for g in batches])
 
     project.__annotations__ = {"batches": pd.Series, "return": pd.Series}
-    hashed = F.transform(grams, lambda g: F.pmod(F.xxhash64(g), F.lit(1 << bits)).cast("int"))
-    return rows.select(F.col(id_column), F.pandas_udf(project, "array<double>")(hashed).alias("embedding"))
+    vectors = F.pandas_udf(project, "array<double>")
+
+    def encoder(text: Column) -> Column:
+        words = T.tokens(text)
+        pairs = F.transform(F.slice(words, 1, F.greatest(F.size(words) - 1, F.lit(0))), lambda w, i: F.concat(w, F.lit(" "), F.element_at(words, i + 2)))
+        return vectors(F.transform(F.concat(words, pairs), lambda g: F.pmod(F.xxhash64(g), F.lit(1 << bits)).cast("int")))
+
+    return encoder
+
+
+def hashed_vectors(rows: DataFrame, id_column: str, text, dims: int = 256, bits: int = 18, seed: int = 42) -> DataFrame:
+    """D3: ``id_column`` and the hashed vector of ``text``."""
+    return rows.select(F.col(id_column), hashed_encoder(dims, bits, seed)(text).alias("embedding"))

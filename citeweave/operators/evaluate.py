@@ -95,6 +95,43 @@ def failure_type(branch_source: Column, gold_source: Column, gold_known: Column,
     )
 
 
+def failure_cascade(
+    branch: Column, known: Column, first_hit: Column, at_200: Column, gap: Column, pattern_missed: Column, mismatch: Column, sources: Column, in_union: Column, in_fusion: Column, in_final: Column
+) -> Column:
+    """Why a branch gave no gold, all nine labels, first reason that applies. ``first_hit`` is -1 for none;
+    ``sources`` are the sources of the known gold (``laws_only`` and so on)."""
+    missed = first_hit == -1
+    return (
+        F.when(known == 0, "no_gold_in_candidates")
+        .when(missed & gap, "query_language_gap")
+        .when(missed & pattern_missed, "citation_pattern_missed")
+        .when(mismatch, "normalization_mismatch")
+        .when(F.endswith(branch, F.lit("laws")) & (sources == "court_only"), "source_mismatch")
+        .when(F.endswith(branch, F.lit("court")) & (sources == "laws_only"), "source_mismatch")
+        .when((branch == "fusion_final") & in_union & ~in_fusion, "gold_lost_in_fusion")
+        .when(at_200 == 0, "no_gold_in_candidates")
+        .when(first_hit > 50, "gold_only_after_large_k")
+        .when((branch == "fusion_final") & in_fusion & ~in_final, "gold_lost_in_final_cut")
+        .otherwise("ok")
+    )
+
+
+def seed_miss_reason(hit: Column, pool: Column, dense_wanted: Column, dense_ran: Column, quota: Column, sparse: Column, dense: Column, anchored: Column, fallback: Column) -> Column:
+    """E22, all nine labels: why gold is not among the candidates, first reason that applies."""
+    return (
+        F.when(hit, "hit_in_fused_top200")
+        .when(pool < 200, "candidate_pool_too_shallow")
+        .when(dense_wanted & ~dense_ran, "dense_not_triggered")
+        .when(quota == 0, "blocked_by_route_quota")
+        .when(~sparse & ~dense & anchored, "needs_anchor_rule")
+        .when(~sparse & ~dense, "not_retrieved_sparse")
+        .when(sparse & ~dense, "not_retrieved_dense")
+        .when(dense & ~sparse, "not_retrieved_sparse")
+        .when(fallback, "lost_in_merge")
+        .otherwise("eval_alignment_suspected")
+    )
+
+
 def drop_stage(in_final: Column, fused_rank: Column, in_input: Column, after: Column, fixed_top_k: int) -> Column:
     """Where a gold citation was lost."""
     return (

@@ -143,3 +143,17 @@ def federated(hits: DataFrame, cut: int = 5) -> DataFrame:
     return top_k(decisions, ["query_id"], [F.desc("score"), F.asc("citation"), F.asc("source"), F.asc("list_id")], cut)
 
 
+def three_way(sparse: DataFrame, dense: DataFrame, court: DataFrame, top_n: int = 320, k: int = 60) -> DataFrame:
+    """reciprocal ranks of the sparse laws, the dense laws and the fused court list; a query without a court list falls
+    back to both lists whole. ``sparse``, ``dense``: query_id, source, citation, rank, laws_rank; ``court``: query_id,
+    citation, rank. Gives query_id, citation, score, rank, mode."""
+    known = court.select("query_id").distinct().withColumn("_court", F.lit(True))
+    parts = []
+    for rows in (sparse, dense):
+        rows = rows.join(known, "query_id", "left")
+        placed = F.when(F.col("_court").isNull(), F.col("rank")).when(F.col("source") == "laws_de", F.col("laws_rank"))
+        parts.append(rows.select("query_id", "citation", placed.alias("rank"), F.col("_court").isNotNull().alias("three")).where("rank IS NOT NULL"))
+    both = parts[0].unionByName(parts[1]).unionByName(court.select("query_id", "citation", "rank", F.lit(True).alias("three")))
+    scored = both.groupBy("query_id", "citation").agg(F.round(F.sum(1.0 / (F.lit(float(k)) + F.col("rank"))), 6).alias("score"), F.bool_or("three").alias("three"))
+    mode = F.when(F.col("three"), "court_dense_threeway_rrf").otherwise("fallback_full_rrf_due_empty_court_rank")
+    return top_k(scored.select("query_id", "citation", "score", mode.alias("mode")), ["query_id"], [F.desc("score"), F.asc("citation")], top_n)

@@ -27,13 +27,26 @@ def weigh(parts: DataFrame, grid: DataFrame) -> DataFrame:
     return rows.withColumns({a: F.col(a) * F.col(w) for a, w in (("c", "w_citation"), ("t", "w_title"), ("x", "w_text"))})
 
 
-def title_penalty(rows: DataFrame) -> DataFrame:
-    """Titles from common moulds lose ``strength`` where, by ``mode``, the mould is common, the title dominates and
-    the citation is weak. Needs df_share, df_threshold, dominance, low_citation, strength, mode; adds triggered."""
+def pattern_hit(template: Column, exact: list[str], patterns: list[str]) -> Column:
+    """The title's mould is one of the exact ones or matches a pattern."""
+    return F.coalesce(template.isin(*exact), F.lit(False)) | F.coalesce(F.greatest(*[F.rlike(template, F.lit(p)) for p in [*patterns, *patterns[:1]]]), F.lit(False)) if patterns else F.coalesce(template.isin(*exact), F.lit(False))
+
+
+def hijacks(rows: DataFrame) -> Column:
+    """Whether a title from a common mould carries a row, by the ``mode`` of its config. Needs the columns of
+    ``title_penalty``; ``pattern_hit`` only where a mode asks for it."""
     total = F.col("c") + F.col("t") + F.col("x") + 1e-9
     common = F.col("df_share") >= F.col("df_threshold")
     dominant = (F.col("t") / total >= F.col("dominance")) & (F.col("c") / total <= F.col("low_citation"))
-    applies = (F.col("source") == "laws_de") & F.when(F.col("mode") == "df_only", common).otherwise(common & dominant) & (F.col("t") > 0)
+    moulded = F.col("pattern_hit") if "pattern_hit" in rows.columns else F.lit(False)
+    return F.when(F.col("mode") == "df_only", common).when(F.col("mode") == "df_plus_dominance", common & dominant).otherwise(common & dominant & moulded)
+
+
+def title_penalty(rows: DataFrame) -> DataFrame:
+    """Titles from common moulds lose ``strength`` where, by ``mode``, the mould is common, the title dominates and
+    the citation is weak, and the mould is a listed one. Needs df_share, df_threshold, dominance, low_citation, strength,
+    mode; adds triggered."""
+    applies = (F.col("source") == "laws_de") & hijacks(rows) & (F.col("t") > 0)
     return rows.withColumn("triggered", applies).withColumn("t", F.when(applies, F.col("t") * F.greatest(F.lit(0.0), 1.0 - F.col("strength"))).otherwise(F.col("t")))
 
 

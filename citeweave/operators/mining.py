@@ -34,3 +34,19 @@ def training_query(views: DataFrame) -> DataFrame:
     """M5: the query as a trainer sees it: clean text, family and issue terms."""
     families = U.likely_families("query")
     return views.select("query_id", T.joined(F.col("clean"), F.slice(U.family_terms(families), 1, 16), U.issue_terms(U.issue_groups("query", families))).alias("text"))
+
+
+def family_negatives(gold: DataFrame, candidates: DataFrame, laws: DataFrame, prefer_family: bool) -> DataFrame:
+    """M1 without issues: query_id, negative, negative_rank, same_family: the best ranked law that is no gold, of the gold's
+    family first if ``prefer_family``. ``candidates``: query_id, citation, rank; ``laws``: citation."""
+    wanted = gold.join(laws, "citation", "left_semi").groupBy("query_id").agg(F.collect_set(F.nullif(T.family_first("citation"), F.lit(""))).alias("gold_families"))
+    pool = candidates.join(gold.select("query_id", "citation"), ["query_id", "citation"], "left_anti").join(laws, "citation", "left_semi").join(wanted, "query_id")
+    pool = pool.withColumn("same_family", F.coalesce(F.array_contains("gold_families", T.family_first("citation")), F.lit(False)).cast("int"))
+    order = ([F.desc("same_family")] if prefer_family else []) + [F.asc("rank")]
+    return pool.withColumn("_n", F.row_number().over(Window.partitionBy("query_id").orderBy(*order))).where("_n = 1").select("query_id", F.col("citation").alias("negative"), F.col("rank").alias("negative_rank"), "same_family")
+
+
+def first_wrong(gold: DataFrame, ranked: DataFrame, depth: int = 15) -> DataFrame:
+    """M3: the first of the ``depth`` best hits that is no gold, for queries with gold: query_id, negative, negative_rank."""
+    pool = ranked.where(F.col("rank") <= depth).join(gold.select("query_id").distinct(), "query_id", "left_semi").join(gold.select("query_id", "citation"), ["query_id", "citation"], "left_anti")
+    return pool.groupBy("query_id").agg(F.min_by(F.struct("citation", "rank"), F.struct("rank", "citation")).alias("d")).select("query_id", F.col("d.citation").alias("negative"), F.col("d.rank").alias("negative_rank"))

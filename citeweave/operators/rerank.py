@@ -105,3 +105,22 @@ def shape_input(pool: DataFrame, shortlist: int = 320, fused_tail: int = 160) ->
     rows = rows.withColumn("_segment", segment)
     order = Window.partitionBy("query_id").orderBy("_segment", F.when(F.col("_segment") == 0, F.col("_p")), F.when(F.col("_segment") == 1, F.col("fused_rank")), *priority)
     return rows.withColumn("input_rank", F.row_number().over(order)).where(F.col("input_rank") <= shortlist).drop("_first", "_p", "_segment")
+
+
+def cut_logits(reranked: DataFrame, mode: str, top: int = 3, share: float = 0.8) -> DataFrame:
+    """Cuts over scores whose sign tells: ``positive`` keeps scores above 0, ``top`` the first ``top``, ``adaptive`` all
+    that reach ``share`` of a positive best score, else the best alone."""
+    if mode == "positive":
+        return reranked.where(F.col("rerank_score") > 0)
+    if mode == "top":
+        return reranked.where(F.col("rerank_rank") <= top)
+    if mode != "adaptive":
+        raise ValueError(f"unknown mode {mode}")
+    best = F.max("rerank_score").over(Window.partitionBy("query_id"))
+    rows = reranked.withColumn("_best", best)
+    return rows.where(F.when(F.col("_best") > 0, F.col("rerank_score") >= F.col("_best") * share).otherwise(F.col("rerank_rank") == 1)).drop("_best")
+
+
+def fill_empty(queries: DataFrame, rows: DataFrame, default: str) -> DataFrame:
+    """query_id, citation; a query without a citation gets the default one."""
+    return queries.select("query_id").join(rows.select("query_id", "citation"), "query_id", "left").select("query_id", F.coalesce("citation", F.lit(default)).alias("citation"))

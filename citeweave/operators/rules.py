@@ -53,6 +53,20 @@ def _inside(patterns: DataFrame, docs: DataFrame) -> DataFrame:
     return rows.join(keyed, "_k").where(F.rlike("norm", relaxed(F.col("pattern")))).drop("_k")
 
 
+def contained(patterns: DataFrame, docs: DataFrame) -> DataFrame:
+    """Rows of ``docs`` (norm) that hold a ``pattern`` as it stands, by the stretches that both have; no theta join."""
+    keyed = patterns.where("pattern <> ''").withColumn("_k", F.left("pattern", F.lit(KEY)))
+    lengths = sorted(r[0] for r in keyed.select(F.length("_k")).distinct().collect())
+    if not lengths:
+        return docs.join(keyed, F.lit(False)).drop("_k")
+
+    def of_length(n: int) -> Column:
+        return F.transform(F.sequence(F.lit(1), F.greatest(F.length("norm") - n + 1, F.lit(1))), lambda i: F.substring(F.col("norm"), i, F.lit(n)))
+
+    rows = docs.withColumn("_k", F.explode(F.array_distinct(F.flatten(F.array(*[of_length(n) for n in lengths])))))
+    return rows.join(keyed, "_k").where(F.contains("norm", F.col("pattern"))).drop("_k")
+
+
 def search(queries: DataFrame, corpus: DataFrame, k_laws: int, k_court: int) -> DataFrame:
     """query_id, source, citation, score, method, rank: the ``k`` best citations of each source.
 

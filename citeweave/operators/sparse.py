@@ -214,6 +214,24 @@ def search(
     return top_k(best, partition, order, k)
 
 
+def okapi(docs: DataFrame, text: Column, key: str, queries: DataFrame, query_id: str, query_text: Column, k: int, epsilon: float = 0.25) -> DataFrame:
+    """The ``k`` best documents of every query over blank-separated words, with the classic idf ln((n - df + 0.5) /
+    (df + 0.5)); a negative one counts as ``epsilon`` of the mean idf. Documents that share no word with a query are left out.
+    """
+    words = lambda c: F.filter(F.split(F.trim(F.lower(F.coalesce(c, F.lit("")))), r"\s+"), lambda w: w != "")
+    rows = docs.select(F.col(key), words(text).alias("_t")).withColumn("dl", F.size("_t"))
+    whole = rows.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
+    df = rows.select(F.explode(F.array_distinct("_t")).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    raw = df.join(F.broadcast(whole)).select("term", "avgdl", F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("raw"))
+    terms = queries.select(query_id, F.explode(words(query_text)).alias("term")).groupBy(query_id, "term").agg(F.count(F.lit(1)).alias("qtf"))
+    mean = F.broadcast(raw.agg(F.avg("raw").alias("mean")))
+    weighted = terms.join(raw, "term").join(mean).select(query_id, "term", "avgdl", (F.col("qtf") * F.when(F.col("raw") < 0, epsilon * F.col("mean")).otherwise(F.col("raw"))).alias("w"))
+    index = rows.select(key, "dl", F.explode(counted(F.col("_t"))).alias("c")).select(key, "dl", "c.term", "c.tf")
+    part = F.col("w") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
+    scores = index.join(weighted, "term").groupBy(query_id, key).agg(F.round(F.sum(part), 6).alias("score"))
+    return top_k(scores, [query_id], [F.desc("score"), F.asc(key)], k)
+
+
 # ---- stored index ---------------------------------------------------------------------------------------------------
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from citeweave.operators.packed_values import split_packed
-from citeweave.plans import evaluation_queries, evaluation_sql, pipeline_queries, retrieval_queries, text_queries
+from citeweave.plans import evaluation_queries, evaluation_sql, extended_queries, pipeline_queries, retrieval_queries, text_queries
 from citeweave.runtime import table
 
 
@@ -22,5 +22,5 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return split_packed(packed_fields(spark, sf_dir), "field", ["source_table", "row_id"], "citation")
 
 
-QUERIES = {"p3_found": p3_found} | text_queries.QUERIES | retrieval_queries.QUERIES | evaluation_queries.QUERIES | pipeline_queries.QUERIES
-SQL: dict[str, str] = {} | text_queries.SQL | retrieval_queries.SQL | evaluation_sql.SQL | pipeline_queries.SQL
+QUERIES = {"p3_found": p3_found} | text_queries.QUERIES | retrieval_queries.QUERIES | evaluation_queries.QUERIES | extended_queries.QUERIES | pipeline_queries.QUERIES
+SQL: dict[str, str] = {} | text_queries.SQL | retrieval_queries.SQL | evaluation_sql.SQL | extended_queries.SQL | pipeline_queries.SQL

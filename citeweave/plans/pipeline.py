@@ -150,3 +150,22 @@ def bm25_baseline(questions: DataFrame, corpus: DataFrame, top_n: int = 8) -> Da
     first = ranked.groupBy("query_id", "citation").agg(F.min("rank").alias("_first"))
     order = Window.partitionBy("query_id").orderBy("_first")
     return first.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top_n).select("query_id", "rank", "citation")
+
+
+def run(spark, settings: dict, sf_dir: str) -> DataFrame:
+    """A pipeline from a configuration, as ``read_json`` gives it: ``pipeline`` (laws_first, baseline or bm25), ``query_filter``
+    (a condition over the questions), and for laws_first the fields of ``Config``. Gives query_id, rank, citation."""
+    questions = C.questions(spark, sf_dir)
+    if settings.get("query_filter"):
+        questions = questions.where(settings["query_filter"])
+    name = settings.get("pipeline", "laws_first")
+    options = {k: v for k, v in settings.items() if k in Config.__dataclass_fields__}
+    if name == "bm25":
+        return bm25_baseline(questions, C.corpus(spark, sf_dir), settings.get("top_n", 8))
+    if name == "laws_first":
+        dense = C.hits(spark, sf_dir).where("list_id = 'dense_multi_view'").drop("list_id")
+        return laws_first(questions, C.corpus(spark, sf_dir), dense, Config(**options))
+    if name == "baseline":
+        docs = C.doc_lookup(C.corpus(spark, sf_dir)).select(F.col("norm").alias("citation"), "source", T.joined(F.col("norm"), F.col("title"), F.col("text")).alias("body"))
+        return baseline(C.hits(spark, sf_dir), questions, docs, settings.get("weights"), settings.get("top_n", 10), depth=settings.get("depth"))
+    raise ValueError(f"unknown pipeline {name}")

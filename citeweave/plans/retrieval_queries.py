@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,7 +15,7 @@ from citeweave.operators import rules as R
 from citeweave.operators import sparse as SP
 from citeweave.plans import sql_text as S
 from citeweave.plans.text_queries import query_views
-from citeweave.runtime import checkpoint_dir, table
+from citeweave.runtime import scratch, table
 
 # ---- sparse ---------------------------------------------------------------------------------------------------------
 
@@ -53,7 +51,7 @@ def bm25_per_source(spark: SparkSession, d: str) -> DataFrame:
 
 def bm25_stored(spark: SparkSession, d: str) -> DataFrame:
     """The same search from an index that is written once and read by term."""
-    folder = f"{checkpoint_dir(spark)}/bm25-{uuid.uuid4().hex}"
+    folder = scratch(spark, "bm25")
     SP.save_index(_bodies(spark, d), F.col("body"), ["source"], ["row_id"], folder)
     return SP.search_index(spark, folder, ["source"], ["row_id"], searched(spark, d), "query_id", F.col("query"), 20)
 

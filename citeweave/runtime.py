@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -11,11 +13,13 @@ from pyspark.sql import DataFrame, SparkSession
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder for intermediate tables.
 
-    The cluster names it in ``spark.checkpoint.dir``; only where that is unset (tests on one machine) a temporary
-    folder is used.
+    The cluster names it in ``spark.checkpoint.dir``; only where that is unset on one machine (tests) a temporary folder is
+    used. A cluster without the setting is an error: a folder of one machine would not be there for the others.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a shared folder on a cluster")
         folder = os.environ.get("CITEWEAVE_CHECKPOINT_DIR") or os.path.join(tempfile.gettempdir(), "citeweave-checkpoints")
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
@@ -23,6 +27,25 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return folder
 
 
+_SCRATCH: list[str] = []
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder in the shared folder for a table that is written and read back; ``clear_scratch`` deletes all of them."""
+    folder = f"{checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _SCRATCH.append(folder)
+    return folder
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Delete the tables of ``scratch``, once their readers are done. Checkpoints themselves go with
+    ``spark.cleaner.referenceTracking.cleanCheckpoints``, which only the start of a session can set."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    while _SCRATCH:
+        path = jvm.org.apache.hadoop.fs.Path(_SCRATCH.pop())
+        path.getFileSystem(conf).delete(path, True)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Materialise ``df`` once in the shared folder; survives the loss of any executor."""
     checkpoint_dir(df.sparkSession)

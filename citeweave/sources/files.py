@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from citeweave.functions import text as X
+from citeweave.runtime import cut_lineage, shuffle_partitions
 
 SCHEMAS = {
     "questions": ("query_id", "query", "gold_citations"),
@@ -47,9 +48,22 @@ def joined_predictions(ranked: DataFrame, queries: DataFrame | None = None) -> D
     return queries.select("query_id").join(lists, "query_id", "left").fillna("", ["predicted_citations"])
 
 
-def write_predictions(ranked: DataFrame, path: str, queries: DataFrame | None = None) -> None:
-    """Sorted by query_id, one file: what goes out is one line a query."""
-    joined_predictions(ranked, queries).orderBy("query_id").coalesce(1).write.mode("overwrite").csv(path, header=True, escape='"')
+def write_predictions(ranked: DataFrame, path: str, queries: DataFrame | None = None, files: int | None = None) -> None:
+    """Sorted by query_id over all files, one line a query; as many files as tasks, unless ``files`` says how many."""
+    lines = joined_predictions(ranked, queries)
+    lines = lines.orderBy("query_id") if files is None else lines.repartitionByRange(files, "query_id").sortWithinPartitions("query_id")
+    lines.write.mode("overwrite").csv(path, header=True, escape='"')
+
+
+def write_summary(rows: DataFrame, path: str) -> None:
+    """A summary of one row as one JSON object."""
+    rows.limit(1).write.mode("overwrite").json(path)
+
+
+def read_triplets(spark: SparkSession, path: str, limit: int | None = None) -> DataFrame:
+    """Training examples from JSON lines: query, positive_text, negative_text."""
+    rows = spark.read.schema("query_id string, query string, positive_text string, negative_text string").json(path)
+    return rows.limit(limit) if limit is not None else rows
 
 
 def write_rows(rows: DataFrame, path: str, form: str = "parquet", partition_by: str | None = None) -> None:
@@ -62,8 +76,14 @@ def write_rows(rows: DataFrame, path: str, form: str = "parquet", partition_by:
 
 
 def with_row_ids(rows: DataFrame, *order: str) -> DataFrame:
-    """row_id from 0 within every source, in the given order."""
-    return rows.withColumn("row_id", F.row_number().over(Window.partitionBy("source").orderBy(*order)) - 1)
+    """row_id from 0 within every source, in the given order; a source takes as many tasks as its range needs."""
+    named = rows.withColumn("list_id", F.col("source"))
+    spread = cut_lineage(named.repartitionByRange(shuffle_partitions(rows.sparkSession), "list_id", *order).withColumn("_p", F.spark_partition_id()))
+    counts = spread.groupBy("list_id", "_p").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy("list_id").orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.select("list_id", "_p", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    local = spread.withColumn("_r", F.row_number().over(Window.partitionBy("list_id", "_p").orderBy(*order)))
+    return local.join(counts, ["list_id", "_p"]).withColumn("row_id", (F.col("_r") + F.col("_before") - 1).cast("int")).drop("list_id", "_p", "_r", "_before")
 
 
 def read_json(path: str) -> dict:
