@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from citeweave.operators.skew import hot_keys
 from citeweave.runtime import cut_lineage
 
-#: Marks the borders of a number, so that 6.2 and 62 stay apart; a control character that canonical text cannot hold.
+#: Marks the borders of a number, so that 6.2 and 62 stay apart; canonical text holds it nowhere else.
 BORDER = "\u0001"
 #: Punctuation, white space, control and format characters.
 NOISE = r"[\p{P}\p{Z}\p{C}&&[^\u0001]]+"
@@ -33,7 +33,8 @@ def fold(text: Column) -> Column:
 
 def canonical_text(text: Column) -> Column:
     """Equal for texts that differ only in white space, letter case and punctuation; numbers keep their borders."""
-    marked = F.regexp_replace(fold(text), r"(\p{N}+)", f"{BORDER}$1{BORDER}")
+    # A mark that stands in the text already is white space there.
+    marked = F.regexp_replace(F.translate(fold(text), BORDER, " "), r"(\p{N}+)", f"{BORDER}$1{BORDER}")
     return F.coalesce(F.regexp_replace(marked, NOISE, ""), F.lit(""))
 
 

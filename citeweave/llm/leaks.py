@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import re
-import uuid
 from bisect import bisect_left
 from collections import defaultdict
 from collections.abc import Iterator, Sequence
@@ -15,7 +14,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from citeweave.runtime import checkpoint_dir, cut_lineage, spread
+from citeweave.runtime import cut_lineage, scratch, spread
 
 _WORDS = re.compile(r"\w+|\x00")
 #: Spellings of one letter that are told apart in no language here.
@@ -516,7 +515,7 @@ def leaked_items(
     wanted = cut_lineage(wanted.withColumn("block", F.pmod(F.xxhash64("text"), F.lit(blocks)).cast("int")))
     seeds = wanted.select("block", F.xxhash64("text").alias("copy"), "text").mapInArrow(_doc_grams(n), "doc_id bigint, copy bigint, gram string").select(F.col("doc_id").cast("int").alias("block"), "gram").distinct()
     met = rows.mapInArrow(_doc_grams(n), "doc_id bigint, copy bigint, gram string").join(seeds, "gram").groupBy("doc_id", "copy", "block").agg(F.countDistinct("gram").alias("n")).where(F.col("n") >= least)
-    folder = f"{checkpoint_dir(spark)}/leaks-{uuid.uuid4().hex}"
+    folder = scratch(spark, "leaks")
     rows.join(met.select("doc_id", "copy", "block"), ["doc_id", "copy"]).select("doc_id", "copy", "text", "block").write.partitionBy("block").parquet(folder)
     near = spark.read.schema("doc_id bigint, copy bigint, text string, block int").parquet(folder)
     out = None

@@ -56,3 +56,13 @@ def test_groups_against_brute_force_with_a_hot_key(spark):
 
 def test_empty(spark):
     assert group_copies(spark.createDataFrame([], "row_id long, citation string, text string"), court_key(), "row_id").count() == 0
+
+
+def test_a_border_mark_in_the_text_is_white_space(spark):
+    from pyspark.sql import functions as F
+
+    from citeweave.llm.copies import canonical_text
+
+    df = spark.createDataFrame([("E. 6 2",), ("E. 6\u00012",), ("E. 62",), ("\u0001E.\u000162",)], "t string")
+    a, b, c, d = (r[0] for r in df.select(canonical_text(F.col("t"))).collect())
+    assert a == b and c == d and a != c
