@@ -104,7 +104,7 @@ def _signs(dims: int, bits: int, seed: int) -> np.ndarray:
 
 def _project(grams: np.ndarray, signs: np.ndarray) -> np.ndarray:
     """The unit-length sum of one row of signs for each gram."""
-    v = signs[grams].sum(axis=0, dtype=np.int32).astype(np.float64)
+    v = signs[grams.astype(np.int64)].sum(axis=0, dtype=np.int32).astype(np.float64)
     norm = np.linalg.norm(v)
     return v / norm if norm else v
 
@@ -127,15 +127,20 @@ def hashed_encoder(dims: int = 256, bits: int = 18, seed: int = 42) -> Encoder:
 
     def project(batches: pd.Series) -> pd.Series:
         signs = _signs(dims, bits, seed)
-        return pd.Series([_project(np.asarray(g, dtype=np.int64), signs).tolist() for g in batches])
+        sizes = np.array([len(words) for words in batches], dtype=np.int64)
+        words = pd.util.hash_array(np.concatenate([np.asarray(w, dtype=object) for w in batches])) if sizes.sum() else np.zeros(0, dtype=np.uint64)
+        with np.errstate(over="ignore"):
+            pairs = words[:-1] * np.uint64(0x9E3779B97F4A7C15) + words[1:]
+        ends = np.cumsum(sizes)
+        # The high bits; of the pairs of one text, all but the one with the next text's first word.
+        keep = np.uint64(64 - bits)
+        return pd.Series([_project(np.concatenate([words[b - n : b], pairs[b - n : max(b - 1, b - n)]]) >> keep, signs).tolist() for b, n in zip(ends, sizes)])
 
     project.__annotations__ = {"batches": pd.Series, "return": pd.Series}
     vectors = F.pandas_udf(project, "array<double>")
 
     def encoder(text: Column) -> Column:
-        words = T.tokens(text)
-        pairs = F.transform(F.slice(words, 1, F.greatest(F.size(words) - 1, F.lit(0))), lambda w, i: F.concat(w, F.lit(" "), F.element_at(words, i + 2)))
-        return vectors(F.transform(F.concat(words, pairs), lambda g: F.pmod(F.xxhash64(g), F.lit(1 << bits)).cast("int")))
+        return vectors(T.tokens(text))
 
     return encoder
 
