@@ -193,6 +193,12 @@ SQL = {
         weighed AS (SELECT * REPLACE (CASE WHEN triggered THEN t * greatest(0.0::DOUBLE, 1.0::DOUBLE - strength) ELSE t END AS t) FROM w1), {_recall('weighed')},
         trig AS (SELECT config_id, count(*) FILTER (WHERE triggered) AS n_triggered FROM weighed GROUP BY ALL) SELECT r.*, coalesce(n_triggered, 0) AS n_triggered FROM results r LEFT JOIN trig USING (config_id)""",
 }
+SQL["fp_profile"] = f"""WITH {S.GOLD}, {S.HITS}, {_FIELDS}, w AS (SELECT query_id, source, citation, c * 2.0::DOUBLE AS c, t * 2.0::DOUBLE AS t, x * 1.0::DOUBLE AS x FROM parts), s AS (SELECT *, round(greatest(c, t, x), 6) AS score FROM w),
+    r AS (SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, citation, source) AS INTEGER) AS rank FROM s) WHERE rank <= 200 AND source = 'laws_de'),
+    lost AS (SELECT g.query_id, g.citation AS gold_citation, rank AS gold_rank, coalesce(c, 0.0) AS gc, coalesce(t, 0.0) AS gt, coalesce(x, 0.0) AS gx FROM gold g LEFT JOIN r ON r.query_id = g.query_id AND r.citation = g.citation WHERE rank IS NULL OR rank > 100),
+    rivals AS (SELECT * FROM (SELECT * EXCLUDE (rank), CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, citation) AS INTEGER) AS fp_rank FROM r ANTI JOIN gold USING (query_id, citation)) WHERE fp_rank <= 20)
+    SELECT v.query_id, gold_citation, v.citation AS fp_citation, fp_rank, coalesce(gold_rank, -1) AS gold_rank, CASE WHEN x > greatest(c, t) AND x > gx * 1.2::DOUBLE THEN 'text_over_power' WHEN t >= x AND t > gt * 1.2::DOUBLE THEN 'title_template_too_generic'
+        WHEN gc < c * 0.7::DOUBLE THEN 'citation_signal_too_weak' WHEN x > gx OR t > gt OR c > gc THEN 'mixed_field_advantage' ELSE 'no_clear_component_gap' END AS why FROM rivals v JOIN lost USING (query_id)"""
 SQL["routing_counts"] = (
     TEXT["route_counts"].rsplit("SELECT * FROM decided", 1)[0]
     + "SELECT route, count(*) AS n, round(avg(case_signals), 6) AS case_signals, count(*) FILTER (WHERE confidence = 'high') AS n_high FROM decided GROUP BY route"
