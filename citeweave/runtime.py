@@ -56,11 +56,18 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+def input_tasks(df: DataFrame) -> int:
+    """In how many tasks ``df`` is computed. Behind a shuffle that is the setting: asking would run the stages before it."""
+    if "Exchange" in df._jdf.queryExecution().executedPlan().toString():
+        return shuffle_partitions(df.sparkSession)
+    return df.rdd.getNumPartitions()
+
+
 def spread(df: DataFrame) -> DataFrame:
     """``df`` over all cores where its files give fewer tasks than there are cores, as one small file does; a table of many
     files stays as it is. For steps that compute much per row."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    return df.repartition(cores) if input_tasks(df) < cores else df
 
 
 def sound_unions(spark: SparkSession) -> None:
