@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
+from citeweave.runtime import input_tasks
+
 
 class LoserTree:
     """Tournament over the heads of sorted runs: ``pop`` gives the least head after log2(k) comparisons."""
@@ -195,7 +197,7 @@ def top_n_per_group(df: DataFrame, group: str, score: str, items: list[str], n:
     fields = ["_s", *names]
     arrow_nested = pa.schema([pa.field("_g", to_arrow_type(kinds[group])), pa.field("run", pa.list_(arrow_struct))])
     arrow_flat = pa.schema([pa.field(f.name, to_arrow_type(f.dataType)) for f in flat.fields])
-    tasks = rows.rdd.getNumPartitions()
+    tasks = input_tasks(rows)
     while tasks > fan_in:
         tasks = math.ceil(tasks / fan_in)
         gathered = runs.withColumn("_part", F.pmod(F.spark_partition_id(), F.lit(tasks))).groupBy("_g", "_part").agg(F.collect_list("run").alias("runs")).select("_g", "runs")
