@@ -126,7 +126,7 @@ def _judged(phrases: DataFrame, shares: DataFrame) -> DataFrame:
 
 
 def disclosing_names(
-    seen: DataFrame, cue_share: float = 0.2, cue_bits: float = 2.0, run_share: float = 0.6, seed_share: float = 0.25, context_share: float = 0.5, context_names: int = 5
+    seen: DataFrame, cue_share: float = 0.2, cue_bits: float = 2.0, run_share: float = 0.6, seed_share: float = 0.25, context_share: float = 0.3, context_names: int = 3
 ) -> tuple[DataFrame, DataFrame]:
     """``found_text`` of all names, announced or not, whose terms exceed the thresholds of disclosure; and the contexts that
     reveal names, with the number of names seen in each. ``seen``: rows of a scan.
