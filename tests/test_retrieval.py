@@ -82,6 +82,43 @@ def test_search_shuffles_no_terms_and_no_pairs(spark):
     assert plan.count("Exchange") == 1 and plan.index("MapInArrow") > plan.index("Exchange")
 
 
+def test_stored_search_shuffles_no_pairs(spark, tmp_path):
+    d = spark.createDataFrame([("a", 1, "x y"), ("a", 2, "y")], "g string, id int, t string")
+    q = spark.createDataFrame([(1, "x")], "q int, t string")
+    SP.save_index(d, F.col("t"), ["g"], ["id"], str(tmp_path))
+    plan = SP.search_index(spark, str(tmp_path), ["g"], ["id"], q, "q", F.col("t"), 3)._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "HashAggregate" not in plan and plan.index("MapInArrow") > plan.index("Exchange")
+
+
+@pytest.mark.parametrize("most", [SP.MOST_TERMS, 0])
+def test_stored_search_over_many_blocks(spark, monkeypatch, tmp_path, most):
+    """Blocks of some 40 tokens, equal scores in different blocks, two keys, more than 1,000 query terms, a long document."""
+    monkeypatch.setattr(SP, "MOST_TERMS", most)
+    rng = random.Random(5)
+    words = ["the", "of"] * 200 + ["äpfel", "éa", "z9", "10"] * 9 + [f"w{i}" for i in range(40)]
+    texts = [" ".join(rng.choices(words, k=rng.randint(0, 12))) for _ in range(60)] * 4 + ["w1 the " * 90, None, "", "- ."]
+    docs = [("xy"[i % 2], None if i == 7 else f"k{i % 50}", i, t) for i, t in enumerate(texts)]
+    rng.shuffle(docs)
+    d = spark.createDataFrame(docs, "g string, a string, b bigint, t string").repartition(3)
+    queries = [(f"q{i}", " ".join(rng.choices(words, k=6))) for i in range(9)] + [("many", " ".join(f"w{i}" for i in range(1200))), ("none", "v"), ("empty", None)]
+    q = spark.createDataFrame(queries, "q string, t string")
+    expected = []
+    for i, t in queries:
+        for g in "xy":
+            mine = [(a or "", b, x or "") for h, a, b, x in docs if h == g]
+            scored = sorted((-round(s, 6), a, b) for (a, b, _), s in zip(mine, bm25([x for *_, x in mine], t or "")) if s > 0)
+            expected += [(i, g, a, b, -s, r) for r, (s, a, b) in enumerate(scored[:7], 1)]
+    SP.save_index(d, F.col("t"), ["g"], ["a", "b"], str(tmp_path), 40)
+    assert spark.read.parquet(f"{tmp_path}/postings").select("_block").distinct().count() > 20
+    got = SP.search_index(spark, str(tmp_path), ["g"], ["a", "b"], q, "q", F.col("t"), 7)
+    assert sorted((r.q, r.g, r.a or "", r.b, r.score, r["rank"]) for r in got.collect()) == sorted(expected)
+    stats = ["g", "term", "df", "n", "avgdl", "idf"]
+    whole = SP.term_stats(d, F.col("t"), ["g"]).select(*stats)
+    assert sorted(spark.read.parquet(f"{tmp_path}/terms").select(*stats).collect()) == sorted(whole.collect())
+    SP.save_index(d.where("false"), F.col("t"), ["g"], ["a", "b"], str(tmp_path))
+    assert SP.search_index(spark, str(tmp_path), ["g"], ["a", "b"], q, "q", F.col("t"), 7).count() == 0
+
+
 def lists(spark, rows):
     return spark.createDataFrame(rows, "query_id string, list_id string, source string, citation string, rank int, score double")
 
